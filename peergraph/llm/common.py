@@ -2,41 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/peergraph-checkpoints"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages reread it from the shared folder instead of recomputing what made it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def utf8(text: pa.Array | pa.ChunkedArray) -> tuple[memoryview, list[int]]:
     """A string column's bytes and offsets (length rows + 1); a null text has length 0."""
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     text = text.cast(pa.large_string()).fill_null("")
-    import numpy as np
-
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
     data = text.buffers()[2]
     return memoryview(data) if data is not None else memoryview(b""), offsets.tolist()
