@@ -23,6 +23,7 @@ import json
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,11 @@ from . import common
 #: Documents' text in a block, in bytes.
 BLOCK = 4 << 20
 #: Most pieces that a task remembers before it starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 #: Most pieces that are encoded ahead and broadcast.
 HEAD = 1 << 18
-#: Slots of the literal rank map, and the multiplier that deals pairs to them.
-SLOTS, SPREAD = 1 << 18, 2654435761
+#: Slots of the literal rank map (a power of two: few enough to send to tasks quickly), and the shift that deals pairs to them.
+SLOTS, SHIFT = 1 << 16, 11
 
 
 @lru_cache(maxsize=4)
@@ -57,8 +58,8 @@ def _rank_json(path: str) -> str:
         for i in range(1, len(whole)):
             a, b = known.get(whole[:i]), known.get(whole[i:])
             if a is not None and b is not None:
-                pair = a << 16 | b
-                slots[(pair * SPREAD >> 12) % SLOTS][pair] = rank
+                pair = a << 16 | b  # as Spark's 32-bit integers have it: signed
+                slots[(pair ^ pair >> SHIFT) % SLOTS][pair - (pair >> 31 << 32)] = rank
     return json.dumps(slots, separators=(",", ":"))
 
 
@@ -68,30 +69,30 @@ def _let(value: Column, body) -> Column:
 
 def merged(pieces: Column, path: str) -> Column:
     """Ids of a piece (array of the ids of its single bytes), by the ranked merges of the vocabulary at path."""
-    table = F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>").cast("array<map<bigint,int>>")
+    table = F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>").cast("array<map<int,int>>")
 
-    def rank(a: Column, b: Column) -> Column:
-        def found(pair: Column) -> Column:
-            slot = (F.shiftright(pair * F.lit(SPREAD), 12) % SLOTS).cast("int")
-            return F.try_element_at(F.get(table, slot), pair)
+    def rank(pair: Column, i: Column) -> Column:
+        """The pair's rank and, in the low half, its place: the least of these is the leftmost pair of lowest rank."""
+        slot = pair.bitwiseXOR(F.shiftrightunsigned(pair, SHIFT)).bitwiseAND(F.lit(SLOTS - 1))
+        return F.shiftleft(F.try_element_at(F.get(table, slot), pair).cast("bigint"), 32).bitwiseOR(i)
 
-        return _let(F.shiftleft(a.cast("bigint"), 16) + b, found)
+    def flip(ids: Column) -> Column:
+        """Marks a piece as done, or takes the mark away: its first id is negative meanwhile."""
+        return F.concat(F.array(-1 - F.get(ids, F.lit(0))), F.slice(ids, F.lit(2), F.size(ids)))
 
     def step(ids: Column, _: Column) -> Column:
-        def lowest(of: Column) -> Column:
-            def merge(best: Column) -> Column:
-                def at(i: Column) -> Column:
-                    return F.concat(F.slice(ids, F.lit(1), i - 1), F.array(best), F.slice(ids, i + 2, F.size(ids)))
+        def merge(best: Column) -> Column:
+            i = best.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+            whole = F.concat(F.slice(ids, F.lit(1), i), F.array(F.shiftright(best, 32).cast("int")), F.slice(ids, i + 3, F.size(ids)))
+            return F.when(best.isNull(), flip(ids)).otherwise(whole)
 
-                return F.when(best.isNull(), ids).otherwise(_let(F.array_position(of, best).cast("int"), at))
-
-            return _let(F.array_min(of), merge)
-
-        # the last id has no right neighbour: its pair is null and is never the lowest
-        return _let(F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), rank), lowest)
+        # the last id has no right neighbour: its pair is null and never the least
+        pairs = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: F.shiftleft(a, 16).bitwiseOR(b))
+        return F.when(F.get(ids, F.lit(0)) < 0, ids).otherwise(_let(F.array_min(F.transform(pairs, rank)), merge))
 
     steps = F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1)))
-    return F.when(F.size(pieces) < 2, pieces).otherwise(F.aggregate(steps, pieces, step))
+    folded = F.aggregate(steps, pieces, step, lambda ids: F.when(F.get(ids, F.lit(0)) < 0, flip(ids)).otherwise(ids))
+    return F.when(F.size(pieces) < 2, pieces).otherwise(folded)
 
 
 def _byte_ids(pieces: list[str], single: np.ndarray) -> pa.Array:
@@ -111,27 +112,31 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 def frequent(documents: DataFrame, path: str, pattern: str, column: str = "text", most: int = HEAD) -> dict[str, bytes]:
-    """The most frequent pieces of all documents (ties: lowest first) with their ids, as little-endian 32-bit integers."""
+    """The most frequent pieces of all documents, as counted word by word, with their ids as little-endian 32-bit integers.
+
+    Which pieces these are decides only how often a piece is encoded, not how."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        seen: Counter[str] = Counter()
+        words: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
-            # a piece seen once in a block of so many can't be among the most frequent of a large corpus
-            twice = {k: v for k, v in seen.items() if v > 1} or seen
-            return pa.RecordBatch.from_arrays([pa.array(list(twice), pa.string()), pa.array(list(twice.values()), pa.int64())], ["piece", "n"])
+            seen: Counter[str] = Counter()
+            for word, n in words.items():
+                if n > 1:  # what a block has but once is not among the most frequent
+                    for piece in find(" " + word):
+                        seen[piece] += n
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
 
-        for batch in batches:
+        for batch in common.slices(batches, BLOCK, column):
             for text in _texts(batch, column):
-                seen.update(find(text))
-                if len(seen) > REMEMBERED:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+                words.update(text.replace("\n", " ").split(" "))
+            if len(words) > REMEMBERED // 4:
+                yield out()
+        yield out()
 
     counted = documents.select(column).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "piece").limit(most).select("piece")
@@ -147,13 +152,15 @@ def encode(documents: DataFrame, path: str, pattern: str, column: str = "text",
     """documents with ``out``: each text's ids as little-endian unsigned 32-bit integers (unpack: ``ids``); the text is not kept."""
     spark = documents.sparkSession
     kept = [f for f in documents.schema.fields if f.name not in (column, out)]
-    known = spark.sparkContext.broadcast(frequent(documents, path, pattern, column, head) if head else {})
+    known = frequent(documents, path, pattern, column, head) if head else {}
+    pieces_ahead, ids_ahead = spark.sparkContext.broadcast(list(known)), spark.sparkContext.broadcast(list(known.values()))
+    del known
     single = _single(path)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, ahead = regex.compile(pattern).findall, known.value
+        find, ahead = regex.compile(pattern).findall, pieces_ahead.value
         numbers: dict[str, int] = {w: i for i, w in enumerate(ahead)}
         for batch in common.slices(batches, BLOCK, column):
             fresh = len(numbers) > len(ahead) + REMEMBERED
@@ -164,7 +171,7 @@ def encode(documents: DataFrame, path: str, pattern: str, column: str = "text",
                 pieces = find(text)
                 parts += [numbers.setdefault(p, len(numbers)) for p in pieces]
                 lengths.append(len(pieces))
-            new = list(numbers)[before:] if len(numbers) > before else []
+            new = list(islice(numbers, before, None))
             rest = batch.select([f.name for f in kept])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest.schema) as w:
@@ -175,7 +182,7 @@ def encode(documents: DataFrame, path: str, pattern: str, column: str = "text",
             )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ahead = list(known.value.values())
+        ahead = ids_ahead.value
         coded = list(ahead)
         for batch in batches:
             for i in range(batch.num_rows):
