@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, simhash
+from . import bpe, chat, packing, secrets, simhash
 from .common import table
 
 
@@ -24,6 +24,45 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(counted, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.concat("assign", "access", "hex")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.concat(base, "linked")).alias("spans"),
+    )
+
+
+OP2_SQL = r"""
+WITH kinds(kind, name, pattern, measured, least) AS (VALUES
+  (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 8),
+  (1, 'access', 'AKIA[A-Z0-9]+', 0, 16),
+  (2, 'hex', '[0-9a-f]+', 0, 32),
+  (3, 'linked_secret', '[A-Za-z0-9+/]+', 0, 40),
+  (4, 'linked_endpoint', 'https?://[^\s"''<>]{4,}', 0, 1)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+matched AS (
+  SELECT r, kind, name, least, text, regexp_extract_all(text, pattern, 0) AS m, regexp_extract_all(text, pattern, measured::INT) AS v,
+    string_split_regex(text, pattern) AS p
+  FROM docs, kinds WHERE regexp_matches(text, CASE kind WHEN 2 THEN '[0-9a-f]{32}' WHEN 3 THEN 'AKIA' WHEN 4 THEN 'AKIA' ELSE pattern END)),
+places AS (SELECT r, kind, name, least, m, v, p, unnest(range(1, len(m) + 1)) AS i FROM matched),
+sized AS (SELECT r, kind, name, least, i, length(v[i]) AS size, length(p[i]) AS gap, length(m[i]) AS long FROM places),
+spans AS (
+  SELECT r, kind, name, least, size, sum(gap + long) OVER (PARTITION BY r, kind ORDER BY i) AS stop, long FROM sized),
+found AS (SELECT r, kind, name, (stop - long)::BIGINT AS start, stop::BIGINT AS stop FROM spans
+  WHERE size >= least AND (kind != 3 OR size = least)),
+reported AS (SELECT * FROM found w WHERE kind < 3 OR EXISTS (
+  SELECT 1 FROM found a WHERE a.r = w.r AND a.kind = 1 AND w.start <= a.stop + 200 AND w.stop >= a.start - 200)),
+joined AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+  string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM reported GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN joined USING (r)
+"""
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     saying = "<|im_end|><|im_start|>assistant ok"
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(saying).alias("text"))
@@ -75,5 +114,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_chat_format": op3_chat_format, "op6_simhash_dedup": op6_simhash_dedup, "op10_packing": op10_packing}
-ORACLE = {"op3_chat_format": OP3_SQL}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_secret_scan": op2_secret_scan, "op3_chat_format": op3_chat_format, "op6_simhash_dedup": op6_simhash_dedup, "op10_packing": op10_packing}
+ORACLE = {"op2_secret_scan": OP2_SQL, "op3_chat_format": OP3_SQL}
