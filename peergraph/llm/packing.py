@@ -48,10 +48,17 @@ def encode(texts: list[str], path: str, end: int) -> list[bytes]:
     if len(known) + len(new) > REMEMBERED:
         known.clear()
     new = [w for w in new if w not in known]
-    for at in range(0, len(new), 8192):
-        part = new[at : at + 8192]
-        for w, e in zip(part, encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+    # many words are encoded in one text, between bars, which no word next to them can take in; words with a bar go alone
+    (bar,) = encoder.encode("|", add_special_tokens=False).ids
+    plain = [w for w in new if "|" not in w]
+    groups = [plain[at : at + 64] for at in range(0, len(plain), 64)] + [[w] for w in new if "|" in w]
+    for at in range(0, len(groups), 128):
+        part = groups[at : at + 128]
+        for group, e in zip(part, encoder.encode_batch_fast([" | ".join(g) for g in part], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == bar) * 4).tolist() if len(group) > 1 else []
+            for w, begin, stop in zip(group, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True):
+                known[w] = raw[begin:stop]
     last = np.array([end], "<u4").tobytes()
     return [b"".join([known[w] for w in ws]) + last for ws in words]
 
