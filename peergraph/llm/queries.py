@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, secrets, simhash
+from . import bpe, chat, iblt, media, packing, repeats, secrets, simhash
 from .common import table
 
 
@@ -105,14 +105,28 @@ FROM cut GROUP BY conv_id
 """
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.against_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_secret_scan": op2_secret_scan, "op3_chat_format": op3_chat_format, "op6_simhash_dedup": op6_simhash_dedup, "op10_packing": op10_packing}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_chat_format, op4_suffix_dedup, op5_iblt_fingerprint, op6_simhash_dedup, op8_media_columns, op10_packing)}
 ORACLE = {"op2_secret_scan": OP2_SQL, "op3_chat_format": OP3_SQL}
