@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, iblt, media, packing, repeats, secrets, simhash
+from . import bpe, chat, iblt, labelled, media, packing, quality, repeats, secrets, simhash, toxicity
 from .common import table
 
 
@@ -119,14 +119,28 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = labelled.fold("doc_id", 3) == 1
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(documents, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = labelled.fold("doc_id", 5) == 0
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(documents, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_chat_format, op4_suffix_dedup, op5_iblt_fingerprint, op6_simhash_dedup, op8_media_columns, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_chat_format, op4_suffix_dedup, op5_iblt_fingerprint, op6_simhash_dedup, op7_toxicity, op8_media_columns, op9_quality, op10_packing)}
 ORACLE = {"op2_secret_scan": OP2_SQL, "op3_chat_format": OP3_SQL}
