@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples.
 
-Examples are a bounded sample of labelled documents (``PER_CLASS`` of each class). Features are the ``TERMS`` words that
-tell the examples' classes apart best (chi-square, counted once a document); weights are TF-IDF with document
+Examples are a bounded sample of labelled documents (``PER_CLASS`` of each class). Features are the ``TERMS`` words and
+beginnings of words (``STEMS`` letters: a stem may take any ending) that tell the examples' classes apart best
+(chi-square, counted once a document); weights are TF-IDF with document
 frequencies over all documents; vectors have length 1. A document's nearest examples by cosine are found exactly in an
 inverted index whose lists keep the greatest weight of each block: blocks are visited by falling upper bound, until no
 block can hold a nearer example. Nearest examples vote with weights by distance, and the vote is calibrated on the
@@ -27,6 +28,8 @@ from . import common, labelled
 
 #: Most examples of a class; features; examples in a block; nearest examples that vote.
 PER_CLASS, TERMS, BLOCK, NEAREST = 3000, 256, 64, 15
+#: Letters of a beginning; a longer word has one of each length.
+STEMS = (3, 4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -34,42 +37,62 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def choose_terms(texts: list[list[str]], label: np.ndarray, most: int = TERMS) -> list[str]:
-    """The words of highest chi-square between presence and label; ties in order of the word."""
+class Terms:
+    """Counts the chosen features in texts. A beginning is written with a star."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.terms = terms
+        self.at: dict[str, list[tuple[int, str, bool]]] = {}
+        for i, t in enumerate(terms):
+            self.at.setdefault(t.rstrip("*")[: STEMS[0]], []).append((i, t.rstrip("*"), t.endswith("*")))
+
+    def counts(self, text: str) -> Counter[int]:
+        found: Counter[int] = Counter()
+        for word, n in Counter(words(text)).items():
+            for i, t, begins in self.at.get(word[: STEMS[0]], ()):
+                if word == t or begins and word.startswith(t):
+                    found[i] += n
+        return found
+
+
+def all_features(text: str) -> set[str]:
+    ws = set(words(text))
+    return ws | {w[:k] + "*" for w in ws for k in STEMS if len(w) >= k}
+
+
+def choose_terms(texts: list[str], label: np.ndarray, most: int = TERMS) -> list[str]:
+    """The features of highest chi-square between presence and label; ties in their order."""
     pos, neg = Counter(), Counter()
-    for ws, y in zip(texts, label.tolist(), strict=True):
-        (pos if y else neg).update(set(ws))
+    for text, y in zip(texts, label.tolist(), strict=True):
+        (pos if y else neg).update(all_features(text))
     n1, n0 = int(label.sum()), int(len(label) - label.sum())
-    if not n1 or not n0:
-        return []
     found = []
-    for w in pos.keys() | neg.keys():
-        a, b = pos[w], neg[w]
+    for f in pos.keys() | neg.keys():
+        a, b = pos[f], neg[f]
         if a + b < 5:
             continue
         n, both = n1 + n0, a + b
         chi = n * (a * n0 - b * n1) ** 2 / (both * max(n - both, 1) * n1 * n0)
         if chi > 15:
-            found.append((-chi, w))
-    return [w for _, w in sorted(found)[:most]]
+            found.append((-chi, f))
+    return [f for _, f in sorted(found)[:most]]
 
 
-def document_frequency(documents: DataFrame, terms: list[str], column: str = "text") -> tuple[dict[str, int], int]:
+def document_frequency(documents: DataFrame, terms: list[str], column: str = "text") -> tuple[list[int], int]:
     """In how many of all documents each term occurs, and how many documents there are."""
-    known = set(terms)
+    known = Terms(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        n = 0
+        seen: Counter[int] = Counter()
         for batch in common.slices(batches, 4 << 20, column):
             for text in batch.column(column).to_pylist():
-                seen.update(known.intersection(words(text or "")))
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*seen, ""]), pa.array([*seen.values(), n], pa.int64())], ["term", "n"])
+                seen.update(known.counts(text or "").keys())
+                seen[-1] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-    rows = documents.select(column).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = documents.select(column).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r.term: r.n for r in rows}
-    return found, found.pop("", 0)
+    return [found.get(i, 0) for i in range(len(terms))], found.get(-1, 0)
 
 
 class Index:
@@ -100,12 +123,12 @@ class Index:
 
 
 class Model:
-    def __init__(self, terms: list[str], idf: np.ndarray, texts: list[list[str]], ids: list, label: np.ndarray, natural: dict[int, int]) -> None:
-        self.place = {t: i for i, t in enumerate(terms)}
+    def __init__(self, terms: list[str], idf: np.ndarray, texts: list[str], ids: list, label: np.ndarray, natural: dict[int, int]) -> None:
+        self.terms = Terms(terms)
         self.idf = idf
         full = np.zeros((len(texts), max(len(terms), 1)))
-        for row, ws in zip(full, texts, strict=True):
-            at, w = self.vector(ws)
+        for row, text in zip(full, texts, strict=True):
+            at, w = self.vector(text)
             row[at] = w
         self.index = Index(full, ids, label)
         share = np.array([natural.get(k, 0) / max(int((label == k).sum()), 1) for k in (0, 1)])
@@ -124,8 +147,8 @@ class Model:
         at = np.flatnonzero(row)
         return at, row[at]
 
-    def vector(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        counts = Counter(i for i in map(self.place.get, ws) if i is not None)
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        counts = self.terms.counts(text)
         at = np.array(sorted(counts), np.int64)
         w = np.array([1 + np.log(counts[i]) for i in at.tolist()]) * self.idf[at] if len(at) else np.empty(0)
         norm = float(np.sqrt(w @ w))
@@ -141,7 +164,7 @@ class Model:
         return float(strength @ self.index.label[where] / strength.sum()), where, cosine
 
     def score(self, text: str) -> tuple[float, str]:
-        at, w = self.vector(words(text))
+        at, w = self.vector(text)
         raw, where, cosine = self.vote(at, w)
         if self.curve is not None and len(at):
             raw = float(np.interp(raw, *self.curve))
@@ -156,10 +179,10 @@ def fit(documents: DataFrame, labels: DataFrame, usable, label: str = "toxic", i
     y = np.array([int(k[1] > 0) for k, _ in rows])
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.0
-    texts = [words(k[0]) for k, _ in rows]
+    texts = [k[0] for k, _ in rows]
     terms = choose_terms(texts, y)
     found, n = document_frequency(documents, terms, column)
-    idf = np.array([np.log((1 + n) / (1 + found.get(t, 0))) + 1 for t in terms])
+    idf = np.log((1 + n) / (1 + np.array(found))) + 1
     binary = {k: sum(v for c, v in natural.items() if int(c > 0) == k) for k in (0, 1)}
     return Model(terms, idf, texts, [i for _, i in rows], y, binary)
 
