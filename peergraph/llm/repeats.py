@@ -35,6 +35,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
@@ -243,26 +245,30 @@ def _repeats(contexts: list[bytes], key: np.ndarray, lo: np.ndarray, length: int
     return _cover(owner[rows], at[rows], at[rows] + length)
 
 
-def keyed(documents: DataFrame, id_column: str, column: str) -> DataFrame:
-    """(key, id, text): the key orders documents by id; where ids repeat or are missing, by id and the text's hash."""
-    rows = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(column), F.lit("")).alias("text"))
+def keyed(documents: DataFrame, id_column: str, column: str, others: list[str]) -> DataFrame:
+    """(key, id, text, others): the key orders documents by id; where ids repeat or are missing, by id and the text's hash."""
+    rows = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(column), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in [id_column, *others]]).alias("row"))
     whole = dict(rows.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
     counted = rows.groupBy("id").agg(F.count("*").alias("n"))
     odd = not whole or counted.where("n > 1 or id is null").limit(1).count()
     if not odd:
-        return rows.select(F.col("id").cast("long").alias("key"), "id", "text")
+        return rows.select(F.col("id").cast("long").alias("key"), "text", "row")
     names = common.cut(rows.select("id", F.xxhash64("text").alias("h")).distinct().orderBy(F.col("id").asc_nulls_first(), "h"))
     numbered = names.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF(names.schema.simpleString()[7:-1].replace(":", " ") + ", key long").alias("n")
     same = F.col("r.id").eqNullSafe(F.col("n.id")) & (F.xxhash64("r.text") == F.col("n.h"))
-    return rows.alias("r").join(numbered, same).select("n.key", "r.id", "r.text")
+    return rows.alias("r").join(numbered, same).select("n.key", "r.text", "r.row")
 
 
-def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", column: str = "text") -> DataFrame:
-    """(id, kept binary, n_bytes, n_removed, n_spans) for each row of documents."""
+def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", column: str = "text", as_text: bool = False) -> DataFrame:
+    """documents with the text's remaining bytes (``kept`` binary) instead of the text, n_bytes, n_removed and n_spans.
+
+    With as_text, ``kept`` is a string instead, without characters of which only a part remains.
+    """
     if not GRAM + 1 < length < 250:
         raise ValueError(f"length must be above {GRAM + 1} and below 250")
-    source = keyed(documents, id_column, column)
-    id_field = source.schema["id"]
+    added = ("kept", "n_bytes", "n_removed", "n_spans")
+    others = [c for c in documents.columns if c not in (id_column, column, *added)]
+    source = keyed(documents, id_column, column, others)
     total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_anchor, n_key, n_context = max(8, total // (8 << 20) * 4 // 3), max(8, total // PART), max(8, total // (12 << 20))
 
@@ -322,13 +328,13 @@ def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", c
                 found.append((int(part[rows[0]]), TEXTS, zstandard.compress(sink.getvalue().to_pybytes(), 3)))
             yield from _rows(found).combine_chunks().to_batches()
 
-    def texts(table: pa.Table) -> Iterator[tuple[list, list, list]]:
-        """(key, id, bytes) columns, blob by blob."""
+    def texts(table: pa.Table) -> Iterator[tuple[list, list, pa.ChunkedArray]]:
+        """(keys, texts' bytes, rows), blob by blob."""
         import zstandard
 
         for blob in _blobs(table, TEXTS):
             own = pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
-            yield own.column("key").to_pylist(), own.column("id").to_pylist(), [t.encode() for t in own.column("text").to_pylist()]
+            yield own.column("key").to_pylist(), [t.encode() for t in own.column("text").to_pylist()], own.column("row")
 
     def contexts(table: pa.Table) -> pa.Table:
         import zstandard
@@ -338,7 +344,7 @@ def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", c
         asked = {c: v[order] for c, v in asked.items()}
         done: set[int] = set()
         bytes_of: list[bytes] = [b""] * len(order)
-        for keys, _, bodies in texts(table):
+        for keys, bodies, _ in texts(table):
             for key, body in zip(keys, bodies, strict=True):
                 a, b = np.searchsorted(asked["key"], [key, key + 1])
                 if a < b and key not in done:
@@ -388,31 +394,27 @@ def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", c
         spans = {c: np.concatenate([f[c] for f in found]) for c, _ in SPAN} if found else {c: np.empty(0, t) for c, t in SPAN}
         return _rows(_deal(SPAN, spans, _of_key(spans["key"], n_key), SPANS))
 
-    out = pa.schema([("id", batch_type(id_field)), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
-
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         spans = [_unpack(SPAN, _blobs(t, SPANS)) for t in (left, right)]
         s = _cover(*[np.concatenate([x[c] for x in spans]) for c, _ in SPAN])
-        columns: list[list] = [[], [], [], [], []]
-        for keys, ids, bodies in texts(left):
-            for key, i, body in zip(keys, ids, bodies, strict=True):
+        done = []
+        for keys, bodies, rows in texts(left):
+            columns: list[list] = [[], [], [], []]
+            for key, body in zip(keys, bodies, strict=True):
                 a, b = np.searchsorted(s["key"], [key, key + 1])
                 starts, ends = s["start"][a:b].tolist(), s["end"][a:b].tolist()
                 kept = b"".join(body[x:y] for x, y in zip([0, *ends], [*starts, len(body)], strict=True))
-                for column, value in zip(columns, (i, kept, len(body), len(body) - len(kept), len(starts)), strict=True):
+                for column, value in zip(columns, (kept.decode("utf-8", "ignore") if as_text else kept, len(body), len(body) - len(kept), len(starts)), strict=True):
                     column.append(value)
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+            types = (pa.string() if as_text else pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            done.append(pa.table([rows, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["row", *added]))
+        return pa.concat_tables(done) if done else pa.table([pa.array([], f.type) for f in to_arrow_schema(result)], names=["row", *added])
 
+    result = T.StructType([source.schema["row"], T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *[T.StructField(c, T.LongType()) for c in added[1:]]])
     dealt = source.select("key", "text").mapInArrow(split, ROW_SQL)
     found = dealt.groupBy("part").applyInArrow(classes, ROW_SQL)
     met = found.unionByName(source.mapInArrow(carry, ROW_SQL))
     sent = met.groupBy("part").applyInArrow(contexts, ROW_SQL)
     more = sent.groupBy("part").applyInArrow(arrays, ROW_SQL)
-    result = f"id {id_field.dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long"
-    return met.groupBy("part").cogroup(more.groupBy("part")).applyInArrow(finish, result).withColumnRenamed("id", id_column)
-
-
-def batch_type(field) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(field.dataType)
+    cut = met.groupBy("part").cogroup(more.groupBy("part")).applyInArrow(finish, result)
+    return cut.select("row.*", *added)

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from . import common
@@ -83,8 +84,6 @@ def fingerprints(documents: DataFrame, column: str = "text", words: int = 3, see
             settle()
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(prints.view("<i8"))], [*[f.name for f in kept], out])
 
-    from pyspark.sql import types as T
-
     return documents.select(*[F.col(f"`{f.name}`") for f in kept], column).mapInArrow(go, T.StructType([*kept, T.StructField(out, T.LongType())]))
 
 
@@ -98,7 +97,8 @@ def links(prints: DataFrame, radius: int = 2, column: str = "fingerprint") -> Da
     """(a, b) with a < b, which connect all distinct fingerprints at most radius bits apart (not each pair of them)."""
     half = (radius + 1) // 2
     flips = F.array(*[F.lit(m) for m in masks(half)]).cast("array<bigint>")
-    distinct = prints.select(F.col(column).alias("f")).distinct()
+    # dealt out again: few rows, each of which becomes many
+    distinct = prints.select(F.col(column).alias("f")).distinct().repartition(4 * prints.sparkSession.sparkContext.defaultParallelism)
     balls = distinct.select("f", F.explode(flips).alias("flip")).select("f", F.col("f").bitwiseXOR(F.col("flip")).alias("variant"))
     # whoever shares a variant differs in at most 2 * half bits
     met = balls.groupBy("variant").agg(F.min("f").alias("least"), F.max("f").alias("most"), F.collect_set("f").alias("all")).where("least < most")
@@ -124,6 +124,8 @@ def components(documents: DataFrame, id_column: str = "doc_id", column: str = "t
 def keep_first(documents: DataFrame, id_column: str = "doc_id", column: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """One document of each component: the one with the smallest id. Of repeated rows of that id, one stays; rows without an id stay."""
     found = components(documents.select(id_column, column), id_column, column, words, radius)
-    first = found.where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
-    kept = documents.join(first, id_column, "left_semi").dropDuplicates([id_column])
+    first = common.cut(found.where(F.col(id_column) == F.col("component_id")).select(id_column))
+    kept = documents.join(first.distinct(), id_column, "left_semi")
+    if first.groupBy(id_column).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_column])
     return kept.unionByName(documents.where(F.col(id_column).isNull()))
