@@ -1 +1 @@
-
+"""Readers of fact tables."""
