@@ -21,7 +21,7 @@ def _peers(metric: str, part: str, name: str) -> str:
     over = f"PARTITION BY {part}" if part else ""
     same = f"PARTITION BY {part}, {metric}" if part else f"PARTITION BY {metric}"
     return f"""100.0 * (rank() OVER ({over} ORDER BY {metric}) - 1 + 0.5 * count(*) OVER ({same})) / count(*) OVER ({over}) AS {name}_pct,
-  rank() OVER ({over} ORDER BY {metric} DESC) - 1 + 0.5 * count(*) OVER ({same}) + 0.5 AS {name}_rank, median({metric}) OVER ({over}) AS {name}_med, count(*) OVER ({over}) AS {name}_n"""
+  CAST(rank() OVER ({over} ORDER BY {metric} DESC) - 1 + 0.5 * count(*) OVER ({same}) + 0.5 AS DOUBLE) AS {name}_rank, median({metric}) OVER ({over}) AS {name}_med, count(*) OVER ({over}) AS {name}_n"""
 
 
 def _covered(prefixes: str) -> str:
@@ -158,7 +158,7 @@ LEFT JOIN (SELECT tp AS project, count(DISTINCT from_type) AS ca FROM sides WHER
 FROM (SELECT type_id, unnest(string_split(external, ';')) AS x FROM types) WHERE x <> ''"""),
     ("dependencies", "SELECT namespace, count(*) AS types_touching FROM labels_of GROUP BY 1"),
     ("plumbed", f"SELECT *, namespace = 'System' OR {_PLUMBING} AS plumbing FROM dependencies"),
-    ("held", "SELECT fn AS a, tn AS b, sum(fields) AS held FROM sides WHERE fields > 0 AND to_abstract AND fn <> tn GROUP BY 1, 2"),
+    ("held", "SELECT fn AS a, tn AS b, sum(fields)::BIGINT AS held FROM sides WHERE fields > 0 AND to_abstract AND fn <> tn GROUP BY 1, 2"),
     ("by_project", "SELECT project, count(*) AS types, count(n.type_id) AS named FROM types t LEFT JOIN named n USING (type_id) GROUP BY 1"),
     ("project_edges", "SELECT DISTINCT fp AS a, tp AS b FROM sides WHERE fp <> tp"),
     ("namespace_edges", "SELECT DISTINCT fn AS a, tn AS b FROM sides WHERE fn <> tn"),

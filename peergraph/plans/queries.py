@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,11 +126,11 @@ add("a22_findings_per_kind", lambda m: m.findings.groupBy("kind").agg(F.count("*
 # distributions
 add("w01_w04_fan_in_readings", lambda m: m.full.select("type_id", "fan_in_percentile", "fan_in_rank", S.finite(F.col("fan_in_times_median")).alias("fan_in_times_median"), S.top_rank_limit(0.05, F.col("cohort_size")).alias("top_rank_limit")), "SELECT type_id, fan_in_pct AS fan_in_percentile, fan_in_rank, CASE WHEN fan_in_med <= 0 AND fan_in > 0 THEN NULL WHEN fan_in_med <= 0 THEN 1 ELSE fan_in / fan_in_med END AS fan_in_times_median, greatest(1.0::DOUBLE, 0.05::DOUBLE * cohort_size + 0.5::DOUBLE) AS top_rank_limit FROM windows")
 add("w05_reading_or_null", lambda m: m.full.select("type_id", F.when(F.col("cohort_size") >= 2, F.col("max_cc_percentile")).alias("percentile")), "SELECT type_id, CASE WHEN cohort_size >= 2 THEN max_cc_pct END AS percentile FROM windows")
-add("w06_read_outside", lambda m: D.read_outside(m.full.select("cohort", (F.col("fan_in") + 0.5).alias("x")).distinct(), m.full, ["cohort"], "fan_in", "x"), "SELECT a.cohort, a.x, count(*) AS n, 100.0 * (count(*) FILTER (p.fan_in < a.x) + 0.5 * count(*) FILTER (p.fan_in = a.x)) / count(*) AS percentile, count(*) FILTER (p.fan_in > a.x) + 0.5 * count(*) FILTER (p.fan_in = a.x) + 0.5 AS rank FROM (SELECT DISTINCT cohort, fan_in + 0.5::DOUBLE AS x FROM peers) a JOIN peers p USING (cohort) GROUP BY 1, 2")
+add("w06_read_outside", lambda m: D.read_outside(m.full.select("cohort", (F.col("fan_in") + 0.5).alias("x")).distinct(), m.full, ["cohort"], "fan_in", "x"), "SELECT a.cohort, a.x, count(*) AS n, 100.0 * (count(*) FILTER (p.fan_in < a.x) + 0.5 * count(*) FILTER (p.fan_in = a.x)) / count(*) AS percentile, count(*) FILTER (p.fan_in > a.x) + 0.5::DOUBLE * count(*) FILTER (p.fan_in = a.x) + 0.5::DOUBLE AS rank FROM (SELECT DISTINCT cohort, fan_in + 0.5::DOUBLE AS x FROM peers) a JOIN peers p USING (cohort) GROUP BY 1, 2")
 add("w07_rank_identity", lambda m: m.full.select("type_id", (F.abs(F.col("fan_in_rank") - (F.col("fan_in_n") * (100 - F.col("fan_in_percentile")) / 100 + 0.5)) < 1e-9).alias("holds")), "SELECT type_id, true AS holds FROM types")
 STATS = ("fan_in", "fan_out", "cyclomatic", "max_cc", "dsm", "data_shape")
 add("w08_cohort_statistics", lambda m: m.full.select("type_id", *[f"stat_{x}_percentile" for x in STATS], *[f"stat_{x}_times_median" for x in STATS[:-1]], "all_fan_in_percentile", "all_max_cc_percentile"), "SELECT type_id, " + ", ".join([f"CASE WHEN cohort_size >= 5 THEN {x}_pct END AS stat_{x}_percentile" for x in STATS] + [f"CASE WHEN cohort_size >= 5 AND isfinite({x}_times) THEN {x}_times END AS stat_{x}_times_median" for x in STATS[:-1]]) + ", all_fan_in_pct AS all_fan_in_percentile, all_max_cc_pct AS all_max_cc_percentile FROM read")
-add("w09_top_by_kind", lambda m: V.top_by_kind(m.findings, 15).select("kind", "subject", "shown", "total"), "SELECT kind, subject, shown, total FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY o1, o2, o3, subject) AS shown, count(*) OVER (PARTITION BY kind) AS total FROM findings) WHERE shown <= 15")
+add("w09_top_by_kind", lambda m: V.top_by_kind(m.findings, 15).select("kind", "subject", "shown", "total"), "SELECT kind, subject, shown::INTEGER AS shown, total FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY o1, o2, o3, subject) AS shown, count(*) OVER (PARTITION BY kind) AS total FROM findings) WHERE shown <= 15")
 
 # cohorts
 add("h01_h02_candidates", lambda m: H.candidates(m.classified).select("type_id", "key", "basis", "precedence"), "SELECT type_id, key, basis, precedence FROM candidates")
@@ -141,8 +142,8 @@ add("h06_without_candidates", lambda m: H.without_candidates(m.types, H.candidat
 # graphs; type-level components and paths have no SQL and are tested against brute force
 add("g01_type_components", lambda m: G.strongly_connected(m.type_edges, 2))
 add("g02_cycle_paths", lambda m: m.namespace_cycles.select("id", joined("path").alias("path")))
-add("g03_namespace_cycles", lambda m: m.namespace_cycles.select(F.get("members", F.lit(0)).alias("first"), "size", joined("members").alias("members")), "SELECT component AS first, count(*) AS size, string_agg(node, ';' ORDER BY node) AS members FROM namespace_scc GROUP BY 1")
-add("g04_project_cycles", lambda m: m.project_cycles.select(F.get("members", F.lit(0)).alias("first"), "size", joined("members").alias("members")), "SELECT component AS first, count(*) AS size, string_agg(node, ';' ORDER BY node) AS members FROM project_scc GROUP BY 1 HAVING count(*) > 1")
+add("g03_namespace_cycles", lambda m: m.namespace_cycles.select(F.get("members", F.lit(0)).alias("first"), "size", joined("members").alias("members")), "SELECT component AS first, count(*)::INTEGER AS size, string_agg(node, ';' ORDER BY node) AS members FROM namespace_scc GROUP BY 1")
+add("g04_project_cycles", lambda m: m.project_cycles.select(F.get("members", F.lit(0)).alias("first"), "size", joined("members").alias("members")), "SELECT component AS first, count(*)::INTEGER AS size, string_agg(node, ';' ORDER BY node) AS members FROM project_scc GROUP BY 1 HAVING count(*) > 1")
 add("g05_tangles", lambda m: m.tangles.select("id", "size", "path_covers_every_member"))
 add("g06_g07_cycle_order", lambda m: m.namespace_cycles.select("id", "size", F.size("path").alias("steps"), "path_covers_every_member").orderBy(F.desc("size"), "id"))
 add("g08_cycle_shapes", lambda m: m.namespace_cycles.select(F.get("members", F.lit(0)).alias("first"), "shape", "mutual", "siblings"), """SELECT component AS first, CASE WHEN s.siblings > 0 THEN 'Coupling' WHEN s.mutual = 0 THEN 'SharedTypes' ELSE 'Coupling' END AS shape, s.mutual, s.siblings
@@ -174,12 +175,14 @@ def nominated(kind: str) -> Callable[[Model], DataFrame]:
 
 
 def _detector_sql(table: str) -> str:
-    select = f"SELECT * FROM {table}"
-    columns = dict(oracle.TABLES)[table]
-    names = [c for c in ("CyclomaticXMedian", "MaxMemberCyclomaticXMedian", "FanInXMedian", "FanOutXMedian") if f"AS {c}" in columns]
-    numbers = ", ".join(f"nullif({c}, CAST('Infinity' AS DOUBLE)) AS {c}" for c in names)
-    select = f"SELECT * {'REPLACE (' + numbers + ') ' if names else ''}FROM {table}"
-    return select.replace("SELECT *", "SELECT * EXCLUDE (lines_of_code)") if table == "d12" else select
+    """Receipts as doubles, infinite ones null; then the qualifiers."""
+    text = dict(oracle.TABLES)[table]
+    receipts = re.findall(r" AS ([A-Z][a-z]\w+)", text)
+    qualifiers = [q for q in re.findall(r" AS ([a-z]\w+)", text) if q not in ("subject", "times")]
+    if table == "d01":
+        qualifiers = ["PatternGroupSize > 5 AS part_of_a_layering_pattern"]
+    numbers = [f"nullif(CAST({r} AS DOUBLE), CAST('Infinity' AS DOUBLE)) AS {r}" for r in receipts]
+    return f"SELECT {', '.join(['subject', 'type_id', *numbers, *qualifiers])} FROM {table}"
 
 
 for _name, _kind in DETECTORS.items():
@@ -195,7 +198,7 @@ add("p07_about", lambda m: X.about(m.findings, m.full.where("kind = 'ApiBoundary
 add("p08_participants", lambda m: m.participants.groupBy("kind").agg(F.count("*").alias("participants")))
 
 # selection and presentation
-add("v01_exemplars", lambda m: V.exemplars(m.findings), "SELECT kind, subject, total, row_number() OVER (ORDER BY total, kind) AS place FROM (SELECT kind, count(*) AS total, first(subject ORDER BY o1, o2, o3, subject) AS subject FROM findings GROUP BY 1)")
+add("v01_exemplars", lambda m: V.exemplars(m.findings), "SELECT kind, subject, total, row_number() OVER (ORDER BY total, kind)::INTEGER AS place FROM (SELECT kind, count(*) AS total, first(subject ORDER BY o1, o2, o3, subject) AS subject FROM findings GROUP BY 1)")
 add("v02_named_types", lambda m: V.named_types(m.findings), "SELECT type_id FROM named")
 add("v03_widest_reach", lambda m: V.widest_reach(m.full), "SELECT type_id, fan_in FROM read WHERE fan_in > 0 ORDER BY fan_in DESC, type_id LIMIT 1")
 add("v04_clean_share", lambda m: V.clean_share(m.types, V.named_types(m.findings)), "SELECT round_even(100.0 * count(*) FILTER (n.type_id IS NULL) / count(*), 0)::BIGINT AS clean_percent FROM types t LEFT JOIN named n USING (type_id)")
@@ -209,7 +212,7 @@ add("v12_diagram_rows", lambda m: V.diagram_rows(m.project_groups).select(joined
 add("v13_unread_carriers", lambda m: V.carriers(m.nominations["NoStaticReferences"].frame, m.types), "SELECT c.type_id, t.name, c.unread, c.total FROM (SELECT type_id, count(*) AS unread, max(DeclaringTypeDataMembers)::BIGINT AS total FROM d12 WHERE part_of_an_unread_group GROUP BY 1) c JOIN types t USING (type_id) WHERE c.total > 0")
 add("v14_layer_span_groups", lambda m: m.nominations["SpansArchitecturalLayers"].frame.groupBy("PatternGroupSize").agg(F.count("*").alias("n")), "SELECT PatternGroupSize::DOUBLE AS PatternGroupSize, count(*) AS n FROM d01 GROUP BY 1")
 add("v18_below_floor", lambda m: m.full.where(F.col("cohort_size") < 5).select("type_id", "fan_in", "max_cc"), "SELECT type_id, fan_in, max_cc FROM read WHERE cohort_size < 5")
-add("v19_lead", lambda m: V.lead(m.findings), "SELECT kind, subject, total, row_number() OVER (ORDER BY total, kind) AS place FROM (SELECT kind, count(*) AS total, first(subject ORDER BY o1, o2, o3, subject) AS subject FROM findings WHERE kind <> 'Coverage' GROUP BY 1)")
+add("v19_lead", lambda m: V.lead(m.findings), "SELECT kind, subject, total, row_number() OVER (ORDER BY total, kind)::INTEGER AS place FROM (SELECT kind, count(*) AS total, first(subject ORDER BY o1, o2, o3, subject) AS subject FROM findings WHERE kind <> 'Coverage' GROUP BY 1)")
 add("v22_drill_down", lambda m: V.drill_down(m.findings, m.full.select("type_id", "name"), 15), "SELECT type_id, name FROM read SEMI JOIN (SELECT type_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY o1, o2, o3, subject) AS shown FROM findings) WHERE shown <= 15) s USING (type_id)")
 
 # sinks
