@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,15 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int, column: str = "te
             if i == batch.num_rows or at[i + 1] - at[begin] > most_bytes:
                 yield batch.slice(begin, i - begin)
                 begin = i
+    give_back()
+
+
+def give_back() -> None:
+    """Returns a finished task's memory to the system: the worker process waits for further tasks beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def null_safe(*columns: str):

@@ -311,6 +311,7 @@ def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", c
         n_classes = np.bincount(of, new) if n else np.empty(0)
         ask = np.flatnonzero(new & (n_classes[of] > 1)) if n else np.empty(0, np.int64)
         requests = {"anchor": s["anchor"][ask], "key": s["key"][ask], "lo": s["lo"][ask], "size": size[ask], "hot": n_classes[of[ask]] > HOT if n else ask}
+        common.give_back()
         return _rows(_deal(SPAN, spans, _of_key(spans["key"], n_key), SPANS) + _deal(REQUEST, requests, _of_key(requests["key"], n_key), REQUESTS))
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,6 +392,8 @@ def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", c
                 part = rows[begin : i + 1]
                 found.append(_repeats([r[3] for r in part], np.array([r[1] for r in part]), np.array([r[2] for r in part]), length))
                 begin, held = i + 1, 0
+        del rows
+        common.give_back()
         spans = {c: np.concatenate([f[c] for f in found]) for c, _ in SPAN} if found else {c: np.empty(0, t) for c, t in SPAN}
         return _rows(_deal(SPAN, spans, _of_key(spans["key"], n_key), SPANS))
 
