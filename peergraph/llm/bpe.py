@@ -38,7 +38,7 @@ BLOCK = 4 << 20
 #: Most pieces that a task remembers before it starts anew.
 REMEMBERED = 1 << 19
 #: Most pieces that are encoded ahead and broadcast.
-HEAD = 1 << 18
+HEAD = 1 << 20
 #: Slots of the literal rank map (a power of two: few enough to send to tasks quickly), and the shift that deals pairs to them.
 SLOTS, SHIFT = 1 << 16, 11
 
@@ -95,8 +95,45 @@ def merged(pieces: Column, path: str) -> Column:
     return F.when(F.size(pieces) < 2, pieces).otherwise(folded)
 
 
-def _byte_ids(pieces: list[str], single: np.ndarray) -> pa.Array:
-    coded = [p.encode() for p in pieces]
+class Ahead:
+    """Pieces that were encoded ahead, as arrays: found by hash, then compared."""
+
+    def __init__(self, pieces: pa.StringArray) -> None:
+        from xxhash import xxh3_64_intdigest
+
+        found = [p.encode() for p in pieces.to_pylist()]
+        hashes = np.array([xxh3_64_intdigest(p) for p in found], np.uint64)
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.order]
+        self.ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        self.bytes = b"".join(found)
+
+    def find(self, pieces: list[bytes]) -> np.ndarray:
+        """Each piece's number, or -1."""
+        from xxhash import xxh3_64_intdigest
+
+        if not len(self.hashes):
+            return np.full(len(pieces), -1, np.int32)
+        asked = np.array([xxh3_64_intdigest(p) for p in pieces], np.uint64)
+        at = np.searchsorted(self.hashes, asked)
+        at[at == len(self.hashes)] = 0
+        number = np.where(self.hashes[at] == asked, self.order[at], -1).astype(np.int32)
+        begin, end, whole = self.ends[number].tolist(), self.ends[number + 1].tolist(), self.bytes
+        for i in np.flatnonzero(number >= 0).tolist():
+            if whole[begin[i] : end[i]] != pieces[i]:
+                number[i] = -1
+        return number
+
+
+class Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def _byte_ids(coded: list[bytes], single: np.ndarray) -> pa.Array:
     ends = np.zeros(len(coded) + 1, np.int32)
     np.cumsum([len(c) for c in coded], out=ends[1:])
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(single[np.frombuffer(b"".join(coded), np.uint8)]))
@@ -111,8 +148,8 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def frequent(documents: DataFrame, path: str, pattern: str, column: str = "text", most: int = HEAD) -> dict[str, bytes]:
-    """The most frequent pieces of all documents, as counted word by word, with their ids as little-endian 32-bit integers.
+def frequent(documents: DataFrame, path: str, pattern: str, column: str = "text", most: int = HEAD) -> pa.Table:
+    """(piece, ids) of the most frequent pieces of all documents, as counted word by word.
 
     Which pieces these are decides only how often a piece is encoded, not how."""
 
@@ -144,67 +181,79 @@ def frequent(documents: DataFrame, path: str, pattern: str, column: str = "text"
     coded = F.hex(F.encode("piece", "UTF-8"))
     start = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda i: F.get(single, F.conv(F.substring(coded, i * 2 - 1, F.lit(2)), 16, 10).cast("int")))
     spread = top.repartition(24).select("piece", merged(start, path).alias("ids"))
-    found = spread.toArrow()
-    return {p: np.array(ids, "<u4").tobytes() for p, ids in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)}
+    return spread.toArrow().combine_chunks()
+
 
+def encode(documents: DataFrame, path: str, pattern: str, column: str = "text", out: str = "ids_le", head: int = HEAD, decoded: str | None = None) -> DataFrame:
+    """documents with ``out``: each text's ids as little-endian unsigned 32-bit integers (unpack: ``ids``); the text is not kept.
 
-def encode(documents: DataFrame, path: str, pattern: str, column: str = "text", out: str = "ids_le", head: int = HEAD) -> DataFrame:
-    """documents with ``out``: each text's ids as little-endian unsigned 32-bit integers (unpack: ``ids``); the text is not kept."""
+    With ``decoded``, a column of that name has the bytes that ``decode`` makes of the ids, made in the same stage.
+    """
     spark = documents.sparkSession
-    kept = [f for f in documents.schema.fields if f.name not in (column, out)]
-    known = frequent(documents, path, pattern, column, head) if head else {}
-    pieces_ahead, ids_ahead = spark.sparkContext.broadcast(list(known)), spark.sparkContext.broadcast(list(known.values()))
-    del known
+    kept = [f for f in documents.schema.fields if f.name not in (column, out, decoded)]
+    ahead = frequent(documents, path, pattern, column, head) if head else pa.table({"piece": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+    lists = ahead.column("ids").combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    ends_ahead = np.cumsum([0, *np.diff(np.asarray(lists.offsets))], dtype=np.int64) * 4
+    ids_ahead = spark.sparkContext.broadcast((np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), "<u4").tobytes(), ends_ahead))
+    pieces_ahead = spark.sparkContext.broadcast(Ahead(ahead.column("piece")))
+    del ahead, lists
     single = _single(path)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, ahead = regex.compile(pattern).findall, pieces_ahead.value
-        numbers: dict[str, int] = {w: i for i, w in enumerate(ahead)}
+        find, numbers = regex.compile(pattern).findall, Numbers()
         for batch in common.slices(batches, BLOCK, column):
-            fresh = len(numbers) > len(ahead) + REMEMBERED
+            fresh = len(numbers) > REMEMBERED
             if fresh:
-                numbers = {w: i for i, w in enumerate(ahead)}
+                numbers = Numbers()
             before, parts, lengths = len(numbers), [], []
             for text in _texts(batch, column):
                 pieces = find(text)
-                parts += [numbers.setdefault(p, len(numbers)) for p in pieces]
+                parts += map(numbers.__getitem__, pieces)
                 lengths.append(len(pieces))
-            new = list(islice(numbers, before, None))
+            new = [p.encode() for p in islice(numbers, before, None)]
+            known = pieces_ahead.value.find(new)
+            fold = _byte_ids([p for p, k in zip(new, known.tolist(), strict=True) if k < 0], single)
             rest = batch.select([f.name for f in kept])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest.schema) as w:
                 w.write_batch(rest)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([sink.getvalue().to_pybytes()]), pa.array([np.array(parts, np.int32).tobytes()]), pa.array([np.array(lengths, np.int32).tobytes()]), pa.array([fresh]), pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), _byte_ids(new, single))],
-                ["rest", "parts", "lengths", "fresh", "new"],
-            )
+            binary = [sink.getvalue().to_pybytes(), np.array(parts, np.int32).tobytes(), np.array(lengths, np.int32).tobytes(), known.tobytes()]
+            yield pa.RecordBatch.from_arrays([*[pa.array([b]) for b in binary], pa.array([fresh]), pa.ListArray.from_arrays(pa.array([0, len(fold)], pa.int32()), fold)], ["rest", "parts", "lengths", "known", "fresh", "new"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ahead = ids_ahead.value
-        coded = list(ahead)
+        flat_ahead, at_ahead = ids_ahead.value
+        coded: list[bytes] = []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 if row.column("fresh")[0].as_py():
-                    coded = list(ahead)
+                    coded = []
                 words = row.column("new").flatten()
                 flat = np.ascontiguousarray(words.flatten().to_numpy(zero_copy_only=False), "<u4").tobytes()
-                ends = (np.asarray(words.offsets) - (words.offsets[0].as_py() if len(words) else 0)) * 4
-                coded += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                ends = ((np.asarray(words.offsets) - (words.offsets[0].as_py() if len(words) else 0)) * 4).tolist()
+                folded = iter([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+                known = np.frombuffer(row.column("known")[0].as_py(), np.int32)
+                begin, end = at_ahead[known].tolist(), at_ahead[known + 1].tolist()
+                coded += [flat_ahead[a:b] if k >= 0 else next(folded) for k, a, b in zip(known.tolist(), begin, end, strict=True)]
                 parts = np.frombuffer(row.column("parts")[0].as_py(), np.int32).tolist()
-                at, ids = 0, []
+                at, packed = 0, []
                 for n in np.frombuffer(row.column("lengths")[0].as_py(), np.int32).tolist():
-                    ids.append(b"".join([coded[p] for p in parts[at : at + n]]))
+                    packed.append(b"".join(map(coded.__getitem__, parts[at : at + n])))
                     at += n
                 rest = pa.ipc.open_stream(row.column("rest")[0].as_py()).read_all().combine_chunks()
                 columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rest.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], [*rest.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], [*rest.schema.names, out])
 
-    blocks = documents.select(*[F.col(f"`{f.name}`") for f in kept], column).mapInArrow(split, "rest binary, parts binary, lengths binary, fresh boolean, new array<array<int>>")
-    folded = blocks.select("rest", "parts", "lengths", "fresh", F.transform("new", lambda p: merged(p, path)).alias("new"))
-    return folded.mapInArrow(join, T.StructType([*kept, T.StructField(out, T.BinaryType())]))
+    def join_and_decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoder(path, out, decoded)(join(batches))
+
+    blocks = documents.select(*[F.col(f"`{f.name}`") for f in kept], column).mapInArrow(split, "rest binary, parts binary, lengths binary, known binary, fresh boolean, new array<array<int>>")
+    folded = blocks.select("rest", "parts", "lengths", "known", "fresh", F.transform("new", lambda p: merged(p, path)).alias("new"))
+    schema = T.StructType([*kept, *[T.StructField(c, T.BinaryType()) for c in (out, decoded) if c]])
+    return folded.mapInArrow(join_and_decode if decoded else join, schema)
 
 
 def ids(packed: Column | str) -> Column:
@@ -217,9 +266,8 @@ def ids(packed: Column | str) -> Column:
     return unpack(packed)
 
 
-def decode(encoded: DataFrame, path: str, column: str = "ids_le", out: str = "decoded") -> DataFrame:
-    """encoded with ``out``: the concatenated binary pieces of each row's ids; the ids are not kept. Null ids have no bytes."""
-    kept = [f for f in encoded.schema.fields if f.name not in (column, out)]
+def _decoder(path: str, column: str, out: str):
+    """A function that adds to Arrow batches, as ``out``, the concatenated binary pieces of each row's ids."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ranks(path)
@@ -229,7 +277,13 @@ def decode(encoded: DataFrame, path: str, column: str = "ids_le", out: str = "de
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                texts = [b"".join([pieces[i] for i in np.frombuffer(b or b"", "<u4").tolist()]) for b in part.column(column).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(texts, pa.binary())], [*[f.name for f in kept], out])
+                texts = [b"".join(map(pieces.__getitem__, np.frombuffer(b or b"", "<u4").tolist())) for b in part.column(column).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, out])
 
-    return encoded.select(*[F.col(f"`{f.name}`") for f in kept], column).mapInArrow(go, T.StructType([*kept, T.StructField(out, T.BinaryType())]))
+    return go
+
+
+def decode(encoded: DataFrame, path: str, column: str = "ids_le", out: str = "decoded") -> DataFrame:
+    """encoded with ``out``: the bytes that each row's packed ids stand for. Null ids have no bytes."""
+    rows = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c != out])
+    return rows.mapInArrow(_decoder(path, column, out), T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())]))

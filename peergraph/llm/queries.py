@@ -19,9 +19,9 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = tokenizer("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    counted = encoded.select("doc_id", "ids_le", F.expr("cast(octet_length(ids_le) div 4 as bigint)").alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"))
-    return bpe.decode(counted, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, decoded="decoded")
+    n_tokens = F.expr("cast(octet_length(ids_le) div 4 as bigint)").alias("n_tokens")
+    return encoded.select("doc_id", n_tokens, F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
