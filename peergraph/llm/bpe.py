@@ -162,16 +162,15 @@ def frequent(documents: DataFrame, path: str, pattern: str, column: str = "text"
         def out() -> pa.RecordBatch:
             seen: Counter[str] = Counter()
             for word, n in words.items():
-                if n > 1:  # what a block has but once is not among the most frequent
-                    for piece in find(" " + word):
-                        seen[piece] += n
+                for piece in find(" " + word):
+                    seen[piece] += n
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
 
         for batch in common.slices(batches, BLOCK, column):
             for text in _texts(batch, column):
                 words.update(text.replace("\n", " ").split(" "))
-            if len(words) > REMEMBERED // 4:
+            if len(words) > REMEMBERED:
                 yield out()
         yield out()
 
