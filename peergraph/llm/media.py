@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import sys
 import tarfile
 import uuid
 import zlib
@@ -100,7 +101,7 @@ def store(documents: DataFrame, folder: str, id_column: str = "doc_id", column:
 
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
-        known: dict[str, tuple[str, int, int]] = {}  # in closed shards
+        known: dict[bytes, tuple[str, int, int]] = {}  # in closed shards
         held, waiting, ids = io.BytesIO(), {}, None  # the open shard: its members and the rows that wait for its name
         rows: list[tuple] = []
 
@@ -109,11 +110,11 @@ def store(documents: DataFrame, folder: str, id_column: str = "doc_id", column:
             if waiting:
                 held.write(b"\0" * 1024)
                 body = held.getbuffer()
-                name = hashlib.sha256(body).hexdigest() + ".tar"
+                name = hashlib.sha256(body).hexdigest()[:32]
                 part = f"{root}/{name}.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as f:
                     f.write(body)
-                system.move(part, f"{root}/{name}")
+                system.move(part, f"{root}/{name}.tar")
                 known.update({digest: (name, at, n) for digest, (at, n) in waiting.items()})
                 waiting.clear()
                 held = io.BytesIO()
@@ -121,7 +122,7 @@ def store(documents: DataFrame, folder: str, id_column: str = "doc_id", column:
         def out() -> pa.RecordBatch:
             done = [(i, n, digest, *known[digest]) for i, n, digest in rows]
             rows.clear()
-            types = [ids, pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            types = [ids, pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names)
 
         for batch in common.slices(batches, 4 << 20, column):
@@ -129,10 +130,10 @@ def store(documents: DataFrame, folder: str, id_column: str = "doc_id", column:
             data, at = common.utf8(batch.column(column))
             for i, doc in enumerate(batch.column(id_column).to_pylist()):
                 payload = payload_of(bytes(data[at[i] : at[i + 1]]))
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 if digest not in known and digest not in waiting:
                     medium = encode(payload)
-                    info = tarfile.TarInfo(f"{digest}.png")
+                    info = tarfile.TarInfo(f"{digest.hex()}.png")
                     info.size = len(medium)
                     held.write(info.tobuf(tarfile.USTAR_FORMAT))
                     waiting[digest] = (held.tell(), len(medium))
@@ -145,7 +146,7 @@ def store(documents: DataFrame, folder: str, id_column: str = "doc_id", column:
         if rows:
             yield out()
 
-    return documents.select(id_column, column).mapInArrow(go, f"`{id_column}` {kind}, n_bytes long, digest string, shard string, at long, length long")
+    return documents.select(id_column, column).mapInArrow(go, f"`{id_column}` {kind}, n_bytes long, digest binary, shard string, at long, length long")
 
 
 def canonical(rows: DataFrame) -> DataFrame:
@@ -154,8 +155,25 @@ def canonical(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(place).alias("place")).select("digest", "place.*")
 
 
-def _ranges(places: DataFrame, folder: str, names: list[str], schema: str, size_of, columns_of) -> DataFrame:
-    """For each place its columns, made of the bytes at [at, at + size); a shard is opened once for neighbouring places."""
+#: Column names and Spark types of what is read back.
+METADATA = {"width": "long", "height": "long", "bits": "long"}
+FEATURES = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+
+
+def _metadata(start: bytes) -> tuple:
+    return header(start)[:3]
+
+
+def _features(medium: bytes) -> tuple:
+    payload = decode(medium)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(medium), hashlib.sha256(medium).hexdigest(), feature(payload, len(payload) // WIDTH)
+
+
+def _read(places: DataFrame, folder: str, wanted: dict[str, str], *ranges: tuple) -> DataFrame:
+    """(digest, wanted): for each place and each of ranges (bytes at most, function), the columns made of those bytes.
+
+    Places are dealt by shard, which holds a bounded number of bytes, and a shard is opened once.
+    """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -170,43 +188,33 @@ def _ranges(places: DataFrame, folder: str, names: list[str], schema: str, size_
                     if shard != name:
                         if file:
                             file.close()
-                        name, file = shard, system.open_input_file(f"{root}/{shard}")
-                    file.seek(at)
-                    found.append((digest, *columns_of(file.read(size_of(length)))))
-                columns = list(zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", *names])
+                        name, file = shard, system.open_input_file(f"{root}/{shard}.tar")
+                    row = [digest]
+                    for most, columns_of in ranges:
+                        file.seek(at)
+                        row += columns_of(file.read(min(length, most)))
+                    found.append(row)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["digest", *wanted])
         if file:
             file.close()
 
     near = places.repartition("shard").sortWithinPartitions("shard", "at")
-    return near.select("digest", "shard", "at", "length").mapInArrow(go, f"digest string, {schema}")
+    return near.select("digest", "shard", "at", "length").mapInArrow(go, ", ".join(["digest binary", *[f"{c} {t}" for c, t in wanted.items()]]))
 
 
 def metadata(places: DataFrame, folder: str) -> DataFrame:
     """(digest, width, height, bits): only headers are read."""
-
-    def columns(start: bytes) -> tuple[int, int, int]:
-        return header(start)[:3]
-
-    return _ranges(places, folder, ["width", "height", "bits"], "width long, height long, bits long", lambda _: HEADER, columns)
+    return _read(places, folder, METADATA, (HEADER, _metadata))
 
 
 def features(places: DataFrame, folder: str) -> DataFrame:
     """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), all from the stored bytes."""
-
-    def columns(medium: bytes) -> tuple:
-        payload = decode(medium)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(medium), hashlib.sha256(medium).hexdigest(), feature(payload, len(payload) // WIDTH)
-
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _ranges(places, folder, names, schema, lambda length: length, columns)
+    return _read(places, folder, FEATURES, (sys.maxsize, _features))
 
 
 def columns(documents: DataFrame, id_column: str = "doc_id", column: str = "text", folder: str | None = None) -> DataFrame:
-    """Stores the texts' payloads and reads them back: (id, n_bytes, digest, shard, at, length), metadata and features."""
+    """Stores the texts' payloads and reads them back: (digest, id, n_bytes), metadata from headers, features from the whole."""
     folder = folder or f"{common.shared_dir(documents.sparkSession)}/media-{uuid.uuid4().hex}"
     rows = common.cut(store(documents, folder, id_column, column))
-    places = common.cut(canonical(rows))
-    read = features(places, folder).join(metadata(places, folder), "digest").join(places, "digest")
+    read = _read(canonical(rows), folder, METADATA | FEATURES, (HEADER, _metadata), (sys.maxsize, _features))
     return rows.select(id_column, "n_bytes", "digest").join(read, "digest")
