@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Remainders that wait at once, and distinct words whose ids a worker remembers.
-POOL, REMEMBERED = 4096, 1 << 20
+POOL, REMEMBERED = 4096, 5 << 18
 
 
 @lru_cache(maxsize=2)
@@ -44,10 +44,11 @@ def encode(texts: list[str], path: str, end: int) -> list[bytes]:
     """Each text's ids and the end id, as little-endian 32-bit integers. No token spans a blank: words are encoded once."""
     encoder, known = _encoder(path)
     words = [t.replace("\n", " ").split(" ") for t in texts]
-    new = set().union(*words).difference(known)
+    own = set().union(*words)
+    new = own.difference(known)
     if len(known) + len(new) > REMEMBERED:
         known.clear()
-        new = set().union(*words)
+        new = own
     # many words are encoded in one text, between bars, which no word next to them can take in; words with a bar go alone
     (bar,) = encoder.encode("|", add_special_tokens=False).ids
     plain = [w for w in new if "|" not in w]
@@ -60,7 +61,8 @@ def encode(texts: list[str], path: str, end: int) -> list[bytes]:
             for w, begin, stop in zip(group, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True):
                 known[w] = raw[begin:stop]
     last = np.array([end], "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, ws)) + last for ws in words]
+    near = {w: known[w] for w in own}  # small enough to stay in the processor's cache
+    return [b"".join(map(near.__getitem__, ws)) + last for ws in words]
 
 
 def fill(counts: dict[int, int], room: int) -> list[int]:
