@@ -9,8 +9,10 @@ array is only built over the few places where it is needed:
    they meet when segments are dealt out by their anchor's hash.
 2. *Classes.* Segments of equal content are a class; all strings of a class's later members are repeats. Blocks
    drop their own later members first, so that copies don't pile up in one task. An anchor with one class is done.
-3. *Contexts.* Where an anchor has several classes, the first member of each sends its bytes; for an anchor with
-   very many classes, each string is sent on its own instead, dealt by its content, so that no task gets them all.
+   An anchor with very many classes (a common passage in texts that differ around it) would bring them all to one
+   task. Such anchors are counted beforehand; their segments are cut into single strings, which are dealt by their
+   own content.
+3. *Contexts.* Where an anchor has several classes, the first member of each sends its bytes.
 4. *Suffix array.* A task sorts the suffixes of its contexts to a depth of ``length``, takes their Burrows-Wheeler
    transform, and expands intervals breadth first by backward extension. A common prefix's length is set at the
    level at which an interval first ends there, so lengths come in increasing order, and expansion stops at
@@ -28,7 +30,6 @@ comes before all others; an empty table gives an empty result; other columns don
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +42,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import common
 
 GRAM = 48
-#: Bytes of text in a block, of text in a part of documents, of contexts in a suffix array, and classes that make an anchor hot.
-BLOCK, PART, ARRAY, HOT = 2 << 20, 12 << 20, 1 << 20, 1 << 15
+#: Bytes of text in a block, of text in a part of documents, of contexts in a suffix array.
+BLOCK, PART, ARRAY = 2 << 20, 12 << 20, 1 << 20
+#: Rows that make an anchor hot, and how many a task must have of it to count them. What isn't counted is at most so many
+#: rows a task, so an anchor that isn't found has at most HOT + SEEN x tasks rows.
+HOT, SEEN = 1 << 15, 8
 
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
 SEGMENT = [("anchor", "<u8"), ("ctx", "<u8"), ("key", "<i8"), ("lo", "<u4"), ("left", "u1"), ("more", "u1")]
 SPAN = [("key", "<i8"), ("start", "<u4"), ("end", "<u4")]
-REQUEST = [("anchor", "<u8"), ("key", "<i8"), ("lo", "<u4"), ("size", "<u4"), ("hot", "u1")]
+REQUEST = [("anchor", "<u8"), ("key", "<i8"), ("lo", "<u4"), ("size", "<u4")]
 _held: dict = {}
 
 
@@ -69,10 +73,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _held["up"], _held["down"], _held["byte"]
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
+def _prefix(data: np.ndarray, other: bool = False) -> np.ndarray:
     up, _, byte = _powers(len(data))
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum(byte[data] * up[: len(data)], out=sums[1:])
+    np.cumsum((_mix(byte) if other else byte)[data] * up[: len(data)], out=sums[1:])
     return sums
 
 
@@ -80,8 +84,11 @@ def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (sums[end] - sums[start]) * _powers(len(sums))[1][start]
 
 
-def segments(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Segments of the documents that end at ends: anchor and content hashes, first and last string's start, anchor's place."""
+def segments(data: np.ndarray, ends: np.ndarray, length: int, hot: np.ndarray) -> dict[str, np.ndarray]:
+    """Segments of the documents that end at ends: anchor and content hashes, first and last string's start, anchor's place.
+
+    Segments of the anchors in hot (sorted) come string by string, each its own anchor.
+    """
     n, width = len(data), length - GRAM + 1
     ok = np.ones(max(n - length + 1, 0), bool)
     for end in ends[:-1].tolist():
@@ -103,7 +110,16 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.nd
     first, last = np.r_[0, cut], np.r_[cut, len(at)] - 1
     a, lo, hi = anchor[first], at[first], at[last]
     shape = ((a - lo).astype(U) << U(8) | (hi - lo).astype(U)) * U(0xD6E8FEB86659FD93)
-    return {"anchor": grams[a], "ctx": _mix(_hash(sums, lo, hi + length) + shape), "lo": lo, "hi": hi, "a": a}
+    found = {"anchor": grams[a], "ctx": _mix(_hash(sums, lo, hi + length) + shape), "lo": lo, "hi": hi, "a": a}
+    if len(hot):
+        near = np.minimum(np.searchsorted(hot, found["anchor"]), len(hot) - 1)
+        common_ = hot[near] == found["anchor"]
+        if common_.any():
+            count = (hi - lo + 1)[common_]
+            one = np.repeat(lo[common_] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+            alone = {"anchor": _mix(_hash(sums, one, one + length)), "ctx": _mix(_hash(_prefix(data, True), one, one + length)), "lo": one, "hi": one, "a": one}
+            found = {c: np.concatenate([v[~common_], alone[c]]) for c, v in found.items()}
+    return found
 
 
 def _pack(kind: list, columns: dict[str, np.ndarray], rows: np.ndarray) -> bytes:
@@ -272,25 +288,40 @@ def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", c
     total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_anchor, n_key, n_context = max(8, total // (8 << 20) * 4 // 3), max(8, total // PART), max(8, total // (12 << 20))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+        """Of each block: columns of segments, the first rows of its classes, and later ones."""
         for batch in common.slices(batches, BLOCK):
             data, at = common.utf8(batch.column("text"))
             at = np.array(at)
-            found = segments(np.frombuffer(data[at[0] : at[-1]], np.uint8), at[1:] - at[0], length)
+            found = segments(np.frombuffer(data[at[0] : at[-1]], np.uint8), at[1:] - at[0], length, hot)
             if not found:
                 continue
             doc = np.searchsorted(at[1:] - at[0], found["lo"], side="right")
             begin = (at[:-1] - at[0])[doc]
-            key = np.asarray(batch.column("key"))[doc]
-            lo = found["lo"] - begin
+            key, lo = np.asarray(batch.column("key"))[doc], found["lo"] - begin
             order = np.lexsort((lo, key, found["ctx"], found["anchor"]))
             cols = {"anchor": found["anchor"], "ctx": found["ctx"], "key": key, "lo": lo, "left": found["a"] - found["lo"], "more": found["hi"] - found["lo"]}
             new = _starts(_first_of(len(order)), cols["anchor"][order], cols["ctx"][order])
             head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             same = (key[order] == key[head]) & (lo[order] == lo[head])  # a row that is listed twice is no repeat of itself
-            stay, later = np.sort(order[new]), order[~new & ~same]
+            yield cols, np.sort(order[new]), order[~new & ~same]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [cols["anchor"][stay] for cols, stay, _ in blocks(batches, np.empty(0, U))]
+        if seen:
+            anchor, n = np.unique(np.concatenate(seen), return_counts=True)
+            many = n >= SEEN
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[many].view(np.int64)), pa.array(n[many])], ["anchor", "n"])
+
+    # so few that all tasks can have them: each stands for at least 2**-16 of all segments
+    least = max(HOT, total // 25 >> 16)
+    counted = source.select("key", "text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    hot = np.sort(np.array([r.anchor for r in counted.select("anchor").collect()], np.int64).view(U))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, stay, later in blocks(batches, hot):
             rows = _deal(SEGMENT, {c: v[stay] for c, v in cols.items()}, (cols["anchor"][stay] % U(n_anchor)).astype(np.int32), SEGMENTS)
-            spans = _cover(key[later], lo[later], lo[later] + cols["more"][later] + length)
+            spans = _cover(cols["key"][later], cols["lo"][later], cols["lo"][later] + cols["more"][later] + length)
             rows += [(p % n_anchor, k, b) for p, k, b in _deal(SPAN, spans, _of_key(spans["key"], n_key), SPANS)]
             yield from _rows(rows).combine_chunks().to_batches()
 
@@ -310,7 +341,7 @@ def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", c
         of = np.cumsum(anchor) - 1
         n_classes = np.bincount(of, new) if n else np.empty(0)
         ask = np.flatnonzero(new & (n_classes[of] > 1)) if n else np.empty(0, np.int64)
-        requests = {"anchor": s["anchor"][ask], "key": s["key"][ask], "lo": s["lo"][ask], "size": size[ask], "hot": n_classes[of[ask]] > HOT if n else ask}
+        requests = {"anchor": s["anchor"][ask], "key": s["key"][ask], "lo": s["lo"][ask], "size": size[ask]}
         common.give_back()
         return _rows(_deal(SPAN, spans, _of_key(spans["key"], n_key), SPANS) + _deal(REQUEST, requests, _of_key(requests["key"], n_key), REQUESTS))
 
@@ -356,13 +387,7 @@ def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", c
         parts: dict[int, list] = {}
         for i, content in enumerate(bytes_of):
             key, lo = int(asked["key"][i]), int(asked["lo"][i])
-            if asked["hot"][i]:  # string by string, dealt by its content
-                for o in range(len(content) - length + 1):
-                    piece = content[o : o + length]
-                    part = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little") % n_context
-                    parts.setdefault(part, []).append((0, key, lo + o, piece))
-            else:
-                parts.setdefault(int(asked["anchor"][i] % U(n_context)), []).append((int(asked["anchor"][i]), key, lo, content))
+            parts.setdefault(int(asked["anchor"][i] % U(n_context)), []).append((int(asked["anchor"][i]), key, lo, content))
         found = []
         for part, rows in parts.items():
             anchor, key, lo, content = zip(*rows, strict=True)
@@ -382,13 +407,13 @@ def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", c
             for a, k, o, z in zip(anchor, key, lo, size, strict=True):
                 rows.append((a, k, o, raw[at : at + z]))
                 at += z
-        # equal strings have equal anchors: arrays may end between anchors; strings on their own come in order of content
-        rows.sort(key=lambda r: (r[0], r[3] if r[0] == 0 else b"", r[1], r[2]))
+        # equal strings have equal anchors: arrays may end between anchors
+        rows.sort(key=lambda r: (r[0], r[1], r[2]))
         found, begin, held = [], 0, 0
         for i, row in enumerate(rows):
             held += len(row[3])
             last = i + 1 == len(rows)
-            if last or held > ARRAY and (rows[i + 1][0] != row[0] or row[0] == 0 and rows[i + 1][3] != row[3]):
+            if last or held > ARRAY and rows[i + 1][0] != row[0]:
                 part = rows[begin : i + 1]
                 found.append(_repeats([r[3] for r in part], np.array([r[1] for r in part]), np.array([r[2] for r in part]), length))
                 begin, held = i + 1, 0
