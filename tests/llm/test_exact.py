@@ -140,6 +140,7 @@ REPEATS = [(1, "a" * 300), (2, "ab" * 200), (2, "ab" * 200), (None, "x" * 120 +
 @pytest.mark.parametrize("hot", [1 << 15, 1])
 def test_repeats_by_hand(spark, docs, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "SEEN", min(hot, repeats.SEEN))
     monkeypatch.setattr(repeats, "BLOCK", 20_000)
     rows = spark.createDataFrame([(*r, 1) for r in REPEATS], "doc_id long, text string, key int")
     with_hash = [(r.doc_id, (r.text or "").encode(), r.h) for r in rows.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()]
