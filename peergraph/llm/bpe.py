@@ -101,12 +101,15 @@ class Ahead:
     def __init__(self, pieces: pa.StringArray) -> None:
         from xxhash import xxh3_64_intdigest
 
-        found = [p.encode() for p in pieces.to_pylist()]
-        hashes = np.array([xxh3_64_intdigest(p) for p in found], np.uint64)
+        self.ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+        whole = memoryview(pieces.buffers()[2] or b"")
+        self.bytes = bytes(whole[self.ends[0] : self.ends[-1]])
+        self.ends = self.ends - self.ends[0]
+        own = memoryview(self.bytes)
+        places = zip(self.ends[:-1].tolist(), self.ends[1:].tolist(), strict=True)
+        hashes = np.fromiter((xxh3_64_intdigest(own[a:b]) for a, b in places), np.uint64, len(pieces))
         self.order = np.argsort(hashes, kind="stable").astype(np.int32)
         self.hashes = hashes[self.order]
-        self.ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-        self.bytes = b"".join(found)
 
     def find(self, pieces: list[bytes]) -> np.ndarray:
         """Each piece's number, or -1."""
@@ -139,6 +142,11 @@ def _byte_ids(coded: list[bytes], single: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(single[np.frombuffer(b"".join(coded), np.uint8)]))
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    found = column.combine_chunks()
+    return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+
+
 def _single(path: str) -> np.ndarray:
     known = ranks(path)
     return np.array([known[bytes([i])] for i in range(256)], np.int32)
@@ -180,7 +188,7 @@ def frequent(documents: DataFrame, path: str, pattern: str, column: str = "text"
     coded = F.hex(F.encode("piece", "UTF-8"))
     start = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda i: F.get(single, F.conv(F.substring(coded, i * 2 - 1, F.lit(2)), 16, 10).cast("int")))
     spread = top.repartition(24).select("piece", merged(start, path).alias("ids"))
-    return spread.toArrow().combine_chunks()
+    return spread.toArrow()
 
 
 def encode(documents: DataFrame, path: str, pattern: str, column: str = "text", out: str = "ids_le", head: int = HEAD, decoded: str | None = None) -> DataFrame:
@@ -191,12 +199,12 @@ def encode(documents: DataFrame, path: str, pattern: str, column: str = "text",
     spark = documents.sparkSession
     kept = [f for f in documents.schema.fields if f.name not in (column, out, decoded)]
     ahead = frequent(documents, path, pattern, column, head) if head else pa.table({"piece": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-    lists = ahead.column("ids").combine_chunks()
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    ends_ahead = np.cumsum([0, *np.diff(np.asarray(lists.offsets))], dtype=np.int64) * 4
+    lists = _whole(ahead.column("ids"))
+    ends_ahead = (np.asarray(lists.offsets) - (lists.offsets[0].as_py() if len(lists) else 0)).astype(np.int32) * 4
     ids_ahead = spark.sparkContext.broadcast((np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), "<u4").tobytes(), ends_ahead))
-    pieces_ahead = spark.sparkContext.broadcast(Ahead(ahead.column("piece")))
+    pieces_ahead = spark.sparkContext.broadcast(Ahead(_whole(ahead.column("piece"))))
     del ahead, lists
+    common.give_back()
     single = _single(path)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
