@@ -15,6 +15,7 @@ gives no pieces; any other columns don't matter.
 from __future__ import annotations
 
 import os
+import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,8 @@ from . import common
 
 #: Remainders that wait at once, and distinct words whose ids a worker remembers.
 POOL, REMEMBERED = 4096, 5 << 18
+#: Latin letters that stay single letters in lower case, and a stop.
+STOPPED = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ʯ]+[.,!?;:]").fullmatch
 
 
 @lru_cache(maxsize=2)
@@ -49,6 +52,9 @@ def encode(texts: list[str], path: str, end: int) -> list[bytes]:
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = own
+    # a stop after letters is a token of its own
+    stopped = [w for w in new if STOPPED(w)]
+    new = new.difference(stopped).union([w[:-1] for w in stopped], [w[-1] for w in stopped]).difference(known)
     # many words are encoded in one text, between bars, which no word next to them can take in; words with a bar go alone
     (bar,) = encoder.encode("|", add_special_tokens=False).ids
     plain = [w for w in new if "|" not in w]
@@ -61,6 +67,7 @@ def encode(texts: list[str], path: str, end: int) -> list[bytes]:
             for w, begin, stop in zip(group, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True):
                 known[w] = raw[begin:stop]
     last = np.array([end], "<u4").tobytes()
+    known.update({w: known[w[:-1]] + known[w[-1]] for w in stopped})
     near = {w: known[w] for w in own}  # small enough to stay in the processor's cache
     return [b"".join(map(near.__getitem__, ws)) + last for ws in words]
 
