@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -63,6 +64,50 @@ def _rank_json(path: str) -> str:
     return json.dumps(slots, separators=(",", ":"))
 
 
+@lru_cache(maxsize=64)
+def _ranges(of: str) -> str:
+    """The basic plane's characters of a class of the regex library, as ranges for a class of the standard library."""
+    import regex
+
+    found = []
+    for plane in ((0, 0xD800), (0xE000, 0x10000)):
+        for m in regex.finditer(of + "+", "".join(map(chr, range(*plane)))):
+            found.append(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}")
+    return "".join(found)
+
+
+def _basic(pattern: str) -> re.Pattern | None:
+    """The pattern for the standard library, which is faster, right for texts of the basic plane; None if it has more than classes like \\p{L}, \\s and \\S."""
+    out, inside, at = "", False, 0
+    while at < len(pattern):
+        step = re.compile(r"\\p\{\w+\}|\\.|.", re.S).match(pattern, at)[0]
+        at += len(step)
+        if step.startswith("\\p{") or step == "\\s":
+            out += _ranges(step) if inside else f"[{_ranges(step)}]"
+        elif step == "\\S" and not inside:
+            out += f"[^{_ranges(chr(92) + 's')}]"
+        elif step[0] == "\\" and step[1].isalnum():
+            return None
+        else:
+            inside = step == "[" or inside and step != "]"
+            out += step
+    try:
+        return re.compile(out)
+    except re.error:
+        return None
+
+
+def finder(pattern: str):
+    """A function from a text to the list of its pieces."""
+    import regex
+
+    full, basic = regex.compile(pattern).findall, _basic(pattern)
+    if basic is None:
+        return full
+    quick, beyond = basic.findall, re.compile("[\U00010000-\U0010ffff]").search
+    return lambda text: full(text) if beyond(text) else quick(text)
+
+
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -162,9 +207,7 @@ def frequent(documents: DataFrame, path: str, pattern: str, column: str = "text"
     Which pieces these are decides only how often a piece is encoded, not how."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find = regex.compile(pattern).findall
+        find = finder(pattern)
         words: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
@@ -208,9 +251,7 @@ def encode(documents: DataFrame, path: str, pattern: str, column: str = "text",
     single = _single(path)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find, numbers = regex.compile(pattern).findall, Numbers()
+        find, numbers = finder(pattern), Numbers()
         for batch in common.slices(batches, BLOCK, column):
             fresh = len(numbers) > REMEMBERED
             if fresh:
