@@ -43,7 +43,7 @@ from . import common
 
 GRAM = 48
 #: Bytes of text in a block, of text in a part of documents, of contexts in a suffix array.
-BLOCK, PART, ARRAY = 2 << 20, 12 << 20, 1 << 20
+BLOCK, PART, ARRAY = 1 << 20, 12 << 20, 1 << 19
 #: Rows that make an anchor hot, and how many a task must have of it to count them. What isn't counted is at most so many
 #: rows a task, so an anchor that isn't found has at most HOT + SEEN x tasks rows.
 HOT, SEEN = 1 << 15, 8
