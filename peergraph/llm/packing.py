@@ -28,9 +28,23 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Remainders that wait at once, and distinct words whose ids a worker remembers.
-POOL, REMEMBERED = 4096, 5 << 18
-#: Latin letters that stay single letters in lower case, and a stop.
-STOPPED = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ʯ]+[.,!?;:]").fullmatch
+POOL, REMEMBERED = 4096, 3 << 19
+#: Latin letters that stay single letters in lower case, with or without a stop, which is a token of its own.
+LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ʯ]+)([.,!?;:]?)").fullmatch
+
+
+class Words(dict):
+    """Numbers words as they come; ``fresh`` are those without ids yet, ``codes`` the ids of the others by number."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+        self.codes: list[bytes] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
 
 
 @lru_cache(maxsize=2)
@@ -40,36 +54,42 @@ def _encoder(path: str):
 
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found, {}
+    return found, Words()
 
 
-def encode(texts: list[str], path: str, end: int) -> list[bytes]:
-    """Each text's ids and the end id, as little-endian 32-bit integers. No token spans a blank: words are encoded once."""
-    encoder, known = _encoder(path)
-    words = [t.replace("\n", " ").split(" ") for t in texts]
-    own = set().union(*words)
-    new = own.difference(known)
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = own
-    # a stop after letters is a token of its own
-    stopped = [w for w in new if STOPPED(w)]
-    new = new.difference(stopped).union([w[:-1] for w in stopped], [w[-1] for w in stopped]).difference(known)
-    # many words are encoded in one text, between bars, which no word next to them can take in; words with a bar go alone
+def _encode_words(words: list[str], encoder) -> dict[str, bytes]:
+    """Ids of each word. Many are encoded in one text, between bars, which no word next to them can take in; words with a bar go alone."""
     (bar,) = encoder.encode("|", add_special_tokens=False).ids
-    plain = [w for w in new if "|" not in w]
-    groups = [plain[at : at + 64] for at in range(0, len(plain), 64)] + [[w] for w in new if "|" in w]
+    plain = [w for w in words if "|" not in w]
+    groups = [plain[at : at + 64] for at in range(0, len(plain), 64)] + [[w] for w in words if "|" in w]
+    found = {}
     for at in range(0, len(groups), 128):
         part = groups[at : at + 128]
         for group, e in zip(part, encoder.encode_batch_fast([" | ".join(g) for g in part], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             raw, cuts = ids.tobytes(), (np.flatnonzero(ids == bar) * 4).tolist() if len(group) > 1 else []
             for w, begin, stop in zip(group, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True):
-                known[w] = raw[begin:stop]
+                found[w] = raw[begin:stop]
+    return found
+
+
+def encode(texts: list[str], path: str, end: int) -> list[bytes]:
+    """Each text's ids and the end id, as little-endian 32-bit integers. No token spans a blank: words are encoded once.
+
+    Of a word of Latin letters, its lower case and its stop are encoded, which many words share.
+    """
+    encoder, words = _encoder(path)
+    if len(words) > REMEMBERED:
+        words.clear(), words.fresh.clear(), words.codes.clear()
+    numbers = [list(map(words.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+    parts = [(m[1].lower(), m[2]) if (m := LETTERS(w)) else (w,) for w in words.fresh]
+    before = len(words.codes)
+    made = _encode_words([p for p in {p for ps in parts for p in ps} if p and words.get(p, before) >= before], encoder)
+    made[""] = b""
+    words.codes += [b"".join([made[p] if p in made else words.codes[words[p]] for p in ps]) for ps in parts]
+    words.fresh.clear()
     last = np.array([end], "<u4").tobytes()
-    known.update({w: known[w[:-1]] + known[w[-1]] for w in stopped})
-    near = {w: known[w] for w in own}  # small enough to stay in the processor's cache
-    return [b"".join(map(near.__getitem__, ws)) + last for ws in words]
+    return [b"".join(map(words.codes.__getitem__, n)) + last for n in numbers]
 
 
 def fill(counts: dict[int, int], room: int) -> list[int]:
