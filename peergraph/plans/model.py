@@ -69,14 +69,21 @@ class Model:
     def considered(self) -> DataFrame:
         return cut(N.considered(self.members, self.member_refs))
 
+    def nomination(self, kind: str) -> N.Nomination:
+        """One detector's nominations; nothing that only others need is computed."""
+        t, p = self.full, self.policy
+        makers = {
+            "SpansArchitecturalLayers": lambda: N.spans_layers(t, self.all_edges, p),
+            "ConcealedDecisionMethod": lambda: N.concealed_method(t, self.members, p),
+            "NoStaticReferences": lambda: N.no_references(self.considered, t, p),
+        }
+        by_type = (N.concealed_type, N.blast_radius, N.change_cost, N.load_bearing, N.breaks_alone, N.hub, N.shared_state, N.boundary_logic, N.widest_surface, N.no_peer_group)
+        rest = [k for k in N.KINDS if k not in makers]
+        return makers[kind]() if kind in makers else by_type[rest.index(kind)](t, p)
+
     @cached_property
     def nominations(self) -> dict[str, N.Nomination]:
-        t, p = self.full, self.policy
-        found = [
-            N.spans_layers(t, self.all_edges, p), N.concealed_method(t, self.members, p), N.concealed_type(t, p), N.blast_radius(t, p), N.change_cost(t, p), N.load_bearing(t, p), N.breaks_alone(t, p),
-            N.hub(t, p), N.shared_state(t, p), N.boundary_logic(t, p), N.widest_surface(t, p), N.no_references(self.considered, t, p), N.no_peer_group(t, p),
-        ]
-        return {n.kind: n for n in found}
+        return {kind: self.nomination(kind) for kind in N.KINDS}
 
     @cached_property
     def detected(self) -> DataFrame:

@@ -168,7 +168,7 @@ DETECTORS = {
 
 def nominated(kind: str) -> Callable[[Model], DataFrame]:
     def of(m: Model) -> DataFrame:
-        n = m.nominations[kind]
+        n = m.nomination(kind)
         return n.frame.select("subject", "type_id", *[S.finite(F.col(r)).alias(r) for r, _ in n.receipts], *[q for q, _ in n.qualifiers])
 
     return of
@@ -209,8 +209,8 @@ add("v08_plot_points", lambda m: V.plot_points(m.by_project, m.couplings), "SELE
 add("v09_plot_bounds", lambda m: V.plot_points(m.by_project, m.couplings).agg(V.plot_bound(F.max("reach")).alias("bound")).select("bound", V.plot_step(F.col("bound")).alias("step")), "SELECT bound, greatest(5.0, bound / 5.0)::DOUBLE AS step FROM (SELECT greatest(10.0, ceil(max(reach) / 10.0) * 10.0)::DOUBLE AS bound FROM (SELECT CASE WHEN sum(types) OVER () > types THEN 100.0 * ca / (sum(types) OVER () - types)::DOUBLE ELSE 0 END AS reach FROM by_project JOIN couplings USING (project)))")
 add("v11_mosaic_shares", lambda m: m.full.groupBy("project").agg(F.sum("lines_of_code").alias("lines")), "SELECT project, sum(lines_of_code)::BIGINT AS lines FROM read GROUP BY 1")
 add("v12_diagram_rows", lambda m: V.diagram_rows(m.project_groups).select(joined("projects").alias("projects"), "layer", "row", "place"))
-add("v13_unread_carriers", lambda m: V.carriers(m.nominations["NoStaticReferences"].frame, m.types), "SELECT c.type_id, t.name, c.unread, c.total FROM (SELECT type_id, count(*) AS unread, max(DeclaringTypeDataMembers)::BIGINT AS total FROM d12 WHERE part_of_an_unread_group GROUP BY 1) c JOIN types t USING (type_id) WHERE c.total > 0")
-add("v14_layer_span_groups", lambda m: m.nominations["SpansArchitecturalLayers"].frame.groupBy("PatternGroupSize").agg(F.count("*").alias("n")), "SELECT PatternGroupSize::DOUBLE AS PatternGroupSize, count(*) AS n FROM d01 GROUP BY 1")
+add("v13_unread_carriers", lambda m: V.carriers(m.nomination("NoStaticReferences").frame, m.types), "SELECT c.type_id, t.name, c.unread, c.total FROM (SELECT type_id, count(*) AS unread, max(DeclaringTypeDataMembers)::BIGINT AS total FROM d12 WHERE part_of_an_unread_group GROUP BY 1) c JOIN types t USING (type_id) WHERE c.total > 0")
+add("v14_layer_span_groups", lambda m: m.nomination("SpansArchitecturalLayers").frame.groupBy("PatternGroupSize").agg(F.count("*").alias("n")), "SELECT PatternGroupSize::DOUBLE AS PatternGroupSize, count(*) AS n FROM d01 GROUP BY 1")
 add("v18_below_floor", lambda m: m.full.where(F.col("cohort_size") < 5).select("type_id", "fan_in", "max_cc"), "SELECT type_id, fan_in, max_cc FROM read WHERE cohort_size < 5")
 add("v19_lead", lambda m: V.lead(m.findings), "SELECT kind, subject, total, row_number() OVER (ORDER BY total, kind)::INTEGER AS place FROM (SELECT kind, count(*) AS total, first(subject ORDER BY o1, o2, o3, subject) AS subject FROM findings WHERE kind <> 'Coverage' GROUP BY 1)")
 add("v22_drill_down", lambda m: V.drill_down(m.findings, m.full.select("type_id", "name"), 15), "SELECT type_id, name FROM read SEMI JOIN (SELECT type_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY o1, o2, o3, subject) AS shown FROM findings) WHERE shown <= 15) s USING (type_id)")
