@@ -6,6 +6,10 @@ A variant meets at most as many fingerprints as its own ball holds (65 for radiu
 are linked to the least of them, not in all pairs. Where two of them can be further apart than the radius (an odd
 radius, or none), each pair of the bounded bucket is verified instead.
 
+``keep_first`` (the pipeline's stage) has a setting of its own: near copies are texts whose sets of 5-word shingles have a
+Jaccard similarity of 0.8 or more. Fingerprints of such texts differ by some 10 of 64 bits, which no ball reaches, so
+there minima of the shingles' hashes choose the pairs (bands of them meet), and each pair is verified on the sets themselves.
+
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows each get
 a row; a null doc_id is kept and never names a component unless all of its component's are null.
 """
@@ -27,6 +31,12 @@ from . import common
 BITS = 64
 #: Shingle hashes that are held at once.
 AT_ONCE = 1 << 17
+#: Near copies (of ``keep_first``): Jaccard similarity of the sets of shingles, as a fraction.
+SIMILAR = (4, 5)
+#: Two sets meet if one of BANDS bands of ROWS minima is equal: at similarity 0.8 all but (1 - 0.8 ** 5) ** 32 = 3e-6 do.
+BANDS, ROWS = 32, 5
+_FLIPS, _FACTORS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
+_MIXER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _counts(hashes: list[int]) -> np.ndarray:
@@ -121,10 +131,127 @@ def components(documents: DataFrame, id_column: str = "doc_id", column: str = "t
     return prints.join(to, "fingerprint")
 
 
-def keep_first(documents: DataFrame, id_column: str = "doc_id", column: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """One document of each component: the one with the smallest id. Of repeated rows of that id, one stays; rows without an id stay."""
-    found = components(documents.select(id_column, column), id_column, column, words, radius)
-    first = common.cut(found.where(F.col(id_column) == F.col("component_id")).select(id_column))
+def shingle_sets(documents: DataFrame, column: str = "text", words: int = 5, seed: int = 42, sets: bool = False, text: bool = False) -> DataFrame:
+    """documents with set_key (of the set of shingles), n_shingles and either band_keys or, with ``sets``, the hashes themselves.
+
+    The text goes unless ``text``. Two texts of the same set have the same key; the set of an empty text has 0 shingles and no bands.
+    """
+    made = [T.StructField("set_key", T.LongType()), T.StructField("n_shingles", T.IntegerType()), T.StructField("shingles" if sets else "band_keys", T.ArrayType(T.LongType()))]
+    kept = [f for f in documents.schema.fields if (text or f.name != column) and f.name not in [m.name for m in made]]
+    read = [f.name for f in kept] + ([] if text else [column])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, 4 << 20, column):
+            data, at = common.utf8(batch.column(column))
+            found = []
+            for i in range(batch.num_rows):
+                parts = [np.array(p, np.uint64) for p in _hashes(bytes(data[at[i] : at[i + 1]]), words, seed)]
+                found.append(np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64))
+            sizes = np.array([len(s) for s in found])
+            keys = [xxh64(s.tobytes()) for s in found]
+            lists = found if sets else _bands(found, sizes)
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in lists])])
+            values = np.concatenate(lists).astype(np.uint64).view(np.int64)
+            columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *columns], [*[f.name for f in kept], *[m.name for m in made]])
+
+    return documents.select(*[F.col(f"`{name}`") for name in read]).mapInArrow(go, T.StructType([*kept, *made]))
+
+
+def xxh64(data: bytes) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(data)
+
+
+def _bands(sets: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
+    """Keys of the BANDS bands of ROWS minima of each set."""
+    out = [np.empty(0, np.uint64)] * len(sets)
+    full = np.flatnonzero(sizes)
+    for some in np.split(full, np.flatnonzero(np.diff(np.cumsum(sizes[full]) // AT_ONCE)) + 1):
+        if not len(some):
+            continue
+        hashes = np.concatenate([sets[i] for i in some])
+        starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+        keys = np.zeros((BANDS, len(some)), np.uint64)
+        work = np.empty_like(hashes)
+        for k in range(BANDS * ROWS):
+            np.multiply(np.bitwise_xor(hashes, _FLIPS[k], out=work), _FACTORS[k], out=work)
+            keys[k // ROWS] = (keys[k // ROWS] ^ np.minimum.reduceat(work, starts)) * _MIXER
+        for i, key in zip(some.tolist(), keys.T, strict=True):
+            out[i] = key
+    return out
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of set keys whose sets have a Jaccard similarity of SIMILAR or more."""
+    of = [sets.select(F.col("set_key").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab"]
+    n_a, n_b, both = F.size("of_a"), F.size("of_b"), F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.join(of[0], "a").join(of[1], "b").where(both * SIMILAR[1] >= (n_a + n_b - both) * SIMILAR[0]).select("a", "b")
+
+
+def _may_be_alike(n_a: str, shared_a: str, n_b: str, shared_b: str):
+    """Whether sets of n shingles each, of which only ``shared`` occur in other sets too, can be near copies."""
+    both = F.least(shared_a, shared_b)
+    return both * SIMILAR[1] >= (F.col(n_a) + F.col(n_b) - both) * SIMILAR[0]
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_components(documents: DataFrame, prints: DataFrame, id_column: str, column: str, words: int) -> DataFrame:
+    """(set_key, root) of the set keys that have a near copy; prints are documents' shingle sets with bands.
+
+    A bucket's members are held against its least one first. What is then in another component than that is held against
+    all sets of other components that can be near copies by their rarest shingles, so every pair that shares a bucket is
+    compared, ruled out by its counts, or linked already.
+    """
+    bands = prints.dropDuplicates(["set_key"]).select("set_key", F.explode("band_keys").alias("band"))
+    # the least of a bucket is combined before the shuffle, so a bucket may hold any share of the sets
+    met = bands.groupBy("band").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most")).where("least < most")
+    wanted = common.cut(bands.join(met.select("band"), "band"))
+
+    ids = prints.join(wanted.select("set_key").distinct(), "set_key", "left_semi").groupBy("set_key").agg(F.min(id_column).alias(id_column))
+    thin = documents.select(id_column, column)
+    texts = thin.join(ids.select(id_column).distinct(), id_column, "left_semi").unionByName(thin.where(F.col(id_column).isNull()))
+    sets = common.cut(shingle_sets(texts, column, words, sets=True).select("set_key", "n_shingles", "shingles").dropDuplicates(["set_key"]))
+
+    # a set's shingles that others have too, rarest first; those that no other has bound its similarity to any
+    each = sets.select("set_key", F.col("n_shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
+    ranked = common.cut(each.join(often, "s").groupBy("set_key", "n").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("rare")))
+    sized = ranked.select("set_key", "n", F.size("rare").alias("shared"))
+    members = common.cut(wanted.join(sized, "set_key").where(_may_be_alike("n", "shared", "shared", "shared")))
+    # the least of those that are left, and all others of its bucket
+    centres = members.groupBy("band").agg(F.min(F.struct("set_key", "n", "shared")).alias("c")).select("band", F.col("c.set_key").alias("centre"), F.col("c.n").alias("n_c"), F.col("c.shared").alias("shared_c"))
+    members = common.cut(members.join(centres, "band"))
+    stars = _ordered(members.where((F.col("set_key") != F.col("centre")) & _may_be_alike("n", "shared", "n_c", "shared_c")).select(F.col("centre").alias("a"), F.col("set_key").alias("b")))
+
+    links = common.cut(_alike(stars, sets))
+    roots = common.cut(connected_components(links).select(F.col("node").alias("set_key"), "root"))
+    placed = members.select("band", "set_key", "n", "shared", "centre").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    centre_roots = placed.where("set_key = centre").select("band", F.col("root").alias("centre_root"))
+    strays = placed.join(centre_roots, "band").where("root <> centre_root").select("set_key", F.lit(True).alias("stray")).distinct()
+    # near copies share one of their n / 5 + 1 rarest shingles; what follows the first shared one bounds what both have
+    rarest = F.slice("rare", 1, F.greatest(F.floor(F.col("n") / 5).cast("int") + 1 - F.col("n") + F.size("rare"), F.lit(0)))
+    prefixes = ranked.join(placed.select("set_key", "root").distinct(), "set_key").select("set_key", "n", "root", F.size("rare").alias("shared"), F.posexplode(rarest).alias("at", "e"))
+    prefixes = common.cut(prefixes.join(strays, "set_key", "left").select("set_key", "n", "root", F.coalesce("stray", F.lit(False)).alias("stray"), (F.col("shared") - F.col("at")).alias("left"), F.col("e.s").alias("s")))
+    a, b = (of.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("set_key", "n", "root", "left", "stray")]) for k, of in (("a", prefixes.where("stray")), ("b", prefixes)))
+    across = a.join(b, "s").where((~F.col("stray_b") | (F.col("set_key_a") < F.col("set_key_b"))) & (F.col("root_a") != F.col("root_b")) & _may_be_alike("n_a", "left_a", "n_b", "left_b"))
+    more = common.cut(_alike(_ordered(across.select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b"))), sets))
+    return connected_components(links.unionByName(more)).select(F.col("node").alias("set_key"), "root") if more.limit(1).count() else roots
+
+
+def keep_first(documents: DataFrame, id_column: str = "doc_id", column: str = "text", words: int = 5) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id. Of repeated rows of that id, one stays; rows without an id stay."""
+    prints = common.cut(shingle_sets(documents.select(id_column, column), column, words))
+    roots = near_components(documents, prints, id_column, column, words)
+    held = prints.groupBy("set_key").agg(F.min(id_column).alias("least_id"))
+    grouped = common.cut(held.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")))
+    named = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    to = grouped.join(named, "root").select("set_key", "component_id")
+    first = common.cut(prints.select(id_column, "set_key").join(to, "set_key").where(F.col(id_column) == F.col("component_id")).select(id_column))
     kept = documents.join(first.distinct(), id_column, "left_semi")
     if first.groupBy(id_column).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         kept = kept.dropDuplicates([id_column])

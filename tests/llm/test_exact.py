@@ -230,6 +230,39 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_first(rows.limit(0)).count() == 0
 
 
+def test_near_copies_go(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(30):
+        words = [f"w{k}x{i}" for i in range(120)]
+        rows.append((3 * k, " ".join(words)))
+        rows.append((3 * k + 1, " ".join([*words[:40], "Other", *words[41:]])))  # 111 of 121 shingles
+        far = [w if i not in (10, 30, 50, 70, 90) else f"new{k}" for i, w in enumerate(words)]  # 91 of 141
+        rows.append((3 * k + 2, " ".join(far)))
+    rng.shuffle(rows)
+    found = simhash.keep_first(spark.createDataFrame([(int(i), t) for i, t in rows], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == [i for i in range(90) if i % 3 != 1]
+
+
+def test_near_copies_by_brute_force(spark, docs):
+    def edited(text, at):
+        words = text.split()
+        return " ".join([*words[:at], "zz", *words[at + 1 :]])
+
+    rows = texts(docs)
+    rows += [(1000 + 10 * i + k, edited(t, 9 * k)) for i, t in rows[:60] for k in range(4)]  # copies of one text, near each other or not
+    sets = {}
+    for i, t in rows:
+        words = t.encode().lower().split()
+        sets.setdefault(frozenset(tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))) if words else frozenset(), []).append(i)
+    groups = [({s}, ids) for s, ids in sets.items()]
+    for s in sets:
+        near = [g for g in groups if s in g[0] or any(len(s & o) * 5 >= 4 * len(s | o) > 0 for o in g[0])]
+        groups = [g for g in groups if g not in near] + [(set().union(*[g[0] for g in near]), sum([g[1] for g in near], []))]
+    found = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == sorted(min(ids) for _, ids in groups)
+
+
 def test_media_round_trip(spark, odd, docs):
     both = odd.select("doc_id", "text").unionByName(docs.select((F.col("doc_id") + 100).alias("doc_id"), "text"))
     found = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256, r.height) for r in media.columns(both).collect())
