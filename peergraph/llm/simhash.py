@@ -244,15 +244,17 @@ def near_components(documents: DataFrame, prints: DataFrame, id_column: str, col
 
 
 def keep_first(documents: DataFrame, id_column: str = "doc_id", column: str = "text", words: int = 5) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Of repeated rows of that id, one stays; rows without an id stay."""
+    """One document of each group of near copies: the one with the smallest id, or one row where none has an id. Of repeated rows of that id, one stays."""
     prints = common.cut(shingle_sets(documents.select(id_column, column), column, words))
     roots = near_components(documents, prints, id_column, column, words)
     held = prints.groupBy("set_key").agg(F.min(id_column).alias("least_id"))
     grouped = common.cut(held.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")))
     named = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    to = grouped.join(named, "root").select("set_key", "component_id")
+    to = common.cut(grouped.join(named, "root").select("set_key", "root", "component_id"))
     first = common.cut(prints.select(id_column, "set_key").join(to, "set_key").where(F.col(id_column) == F.col("component_id")).select(id_column))
     kept = documents.join(first.distinct(), id_column, "left_semi")
     if first.groupBy(id_column).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         kept = kept.dropDuplicates([id_column])
-    return kept.unionByName(documents.where(F.col(id_column).isNull()))
+    rows = documents.where(F.col(id_column).isNull()).select(F.struct("*").alias("row"), column)
+    nameless = shingle_sets(rows, column, words).select("row", "set_key").join(to.where("component_id is null"), "set_key")
+    return kept.unionByName(nameless.groupBy("root").agg(F.min_by("row", "set_key").alias("row")).select("row.*"))

@@ -230,6 +230,13 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_first(rows.limit(0)).count() == 0
 
 
+def test_rows_without_id_are_deduplicated(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text), (None, text), (None, text + " end"), (None, "alone in the group"), (None, "alone in the group"), (None, None), (None, "")]
+    found = simhash.keep_first(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, set_key string")).collect()
+    assert Counter((r.doc_id, r.text or "", r.set_key) for r in found) == Counter([(7, text, "x"), (None, "alone in the group", "x"), (None, "", "x")])
+
+
 def test_near_copies_go(spark):
     rng = np.random.default_rng(3)
     rows = []
