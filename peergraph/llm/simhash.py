@@ -220,7 +220,8 @@ def near_components(documents: DataFrame, prints: DataFrame, id_column: str, col
     # a set's shingles that others have too, rarest first; those that no other has bound its similarity to any
     each = sets.select("set_key", F.col("n_shingles").alias("n"), F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
-    ranked = common.cut(each.join(often, "s").groupBy("set_key", "n").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("rare")))
+    rank = F.shiftleft(F.least("k", F.lit(32767)), 48).bitwiseOR(F.shiftrightunsigned("s", 16))
+    ranked = common.cut(each.join(often, "s").groupBy("set_key", "n").agg(F.array_sort(F.collect_list(rank)).alias("rare")))
     sized = ranked.select("set_key", "n", F.size("rare").alias("shared"))
     members = common.cut(wanted.join(sized, "set_key").where(_may_be_alike("n", "shared", "shared", "shared")))
     # the least of those that are left, and all others of its bucket
@@ -235,8 +236,8 @@ def near_components(documents: DataFrame, prints: DataFrame, id_column: str, col
     strays = placed.join(centre_roots, "band").where("root <> centre_root").select("set_key", F.lit(True).alias("stray")).distinct()
     # near copies share one of their n / 5 + 1 rarest shingles; what follows the first shared one bounds what both have
     rarest = F.slice("rare", 1, F.greatest(F.floor(F.col("n") / 5).cast("int") + 1 - F.col("n") + F.size("rare"), F.lit(0)))
-    prefixes = ranked.join(placed.select("set_key", "root").distinct(), "set_key").select("set_key", "n", "root", F.size("rare").alias("shared"), F.posexplode(rarest).alias("at", "e"))
-    prefixes = common.cut(prefixes.join(strays, "set_key", "left").select("set_key", "n", "root", F.coalesce("stray", F.lit(False)).alias("stray"), (F.col("shared") - F.col("at")).alias("left"), F.col("e.s").alias("s")))
+    prefixes = ranked.join(placed.select("set_key", "root").distinct(), "set_key").select("set_key", "n", "root", F.size("rare").alias("shared"), F.posexplode(rarest).alias("at", "s"))
+    prefixes = common.cut(prefixes.join(strays, "set_key", "left").select("set_key", "n", "root", F.coalesce("stray", F.lit(False)).alias("stray"), (F.col("shared") - F.col("at")).alias("left"), "s"))
     a, b = (of.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("set_key", "n", "root", "left", "stray")]) for k, of in (("a", prefixes.where("stray")), ("b", prefixes)))
     across = a.join(b, "s").where((~F.col("stray_b") | (F.col("set_key_a") < F.col("set_key_b"))) & (F.col("root_a") != F.col("root_b")) & _may_be_alike("n_a", "left_a", "n_b", "left_b"))
     more = common.cut(_alike(_ordered(across.select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b"))), sets))
