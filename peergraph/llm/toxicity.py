@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples.
 
-Examples are a bounded sample of labelled documents (``PER_CLASS`` of each class). Features are the ``TERMS`` words and
-beginnings of words (``STEMS`` letters: a stem may take any ending) that tell the examples' classes apart best
-(chi-square, counted once a document); weights are TF-IDF with document
+Examples are a bounded sample of labelled documents (``PER_CLASS`` of each class). Features are all words and
+beginnings of words (``STEMS`` letters: a stem may take any ending) that tell the examples' classes apart
+(in 5 examples or more, chi-square above 15, counted once a document); other words don't count, so the cosine is exact
+over these features only and a text without any has no neighbours (README has the effect); weights are TF-IDF with document
 frequencies over all documents; vectors have length 1. A document's nearest examples by cosine are found exactly in an
 inverted index whose lists keep the greatest weight of each block: blocks are visited by falling upper bound, until no
 block can hold a nearer example. Nearest examples vote with weights by distance, and the vote is calibrated on the
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 
 from . import common, labelled
 
-#: Most examples of a class; features; examples in a block; nearest examples that vote.
-PER_CLASS, TERMS, BLOCK, NEAREST = 3000, 256, 64, 15
+#: Most examples of a class; examples in a block; nearest examples that vote.
+PER_CLASS, BLOCK, NEAREST = 3000, 64, 15
 #: Letters of a beginning; a longer word has one of each length.
 STEMS = (3, 4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
@@ -60,8 +61,8 @@ def all_features(text: str) -> set[str]:
     return ws | {w[:k] + "*" for w in ws for k in STEMS if len(w) >= k}
 
 
-def choose_terms(texts: list[str], label: np.ndarray, most: int = TERMS) -> list[str]:
-    """The features of highest chi-square between presence and label; ties in their order."""
+def choose_terms(texts: list[str], label: np.ndarray) -> list[str]:
+    """The features whose presence depends on the label, by falling chi-square; ties in their order."""
     pos, neg = Counter(), Counter()
     for text, y in zip(texts, label.tolist(), strict=True):
         (pos if y else neg).update(all_features(text))
@@ -75,7 +76,7 @@ def choose_terms(texts: list[str], label: np.ndarray, most: int = TERMS) -> list
         chi = n * (a * n0 - b * n1) ** 2 / (both * max(n - both, 1) * n1 * n0)
         if chi > 15:
             found.append((-chi, f))
-    return [f for _, f in sorted(found)[:most]]
+    return [f for _, f in sorted(found)]
 
 
 def document_frequency(documents: DataFrame, terms: list[str], column: str = "text") -> tuple[list[int], int]:

@@ -32,6 +32,12 @@ def test_quality_held_out(spark):
     assert (score[y == 1] >= 0.3).mean() > 0.97
 
 
+def test_all_telling_words_are_features():
+    telling = ["".join(chr(97 + k // 26**p % 26) for p in range(2)) for k in range(400)]
+    texts = [" ".join(telling)] * 20 + ["zz common"] * 20
+    assert set(telling) <= set(toxicity.choose_terms(texts, np.repeat([1, 0], 20)))
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(1)
     vectors = rng.random((300, 20)) * (rng.random((300, 20)) < 0.2)
