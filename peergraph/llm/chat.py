@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 START, SEP, END, LINE = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n", "<|nl|>"
 
 
@@ -40,7 +42,6 @@ def format_conversations(turns: DataFrame, trained: str = "assistant") -> DataFr
         return F.struct(head.alias("head"), t.text.alias("text"), F.when(after.eqNullSafe(t.role), F.lit("")).otherwise(F.lit(END)).alias("tail"), (t.role == trained).alias("trained"))
 
     cut = grouped.select("conv_id", F.transform("turns", segment).alias("segments"))
-    at = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 
     def add(acc: Column, s: Column) -> Column:
         start = acc.at + F.length(s["head"])
@@ -48,8 +49,12 @@ def format_conversations(turns: DataFrame, trained: str = "assistant") -> DataFr
         spans = F.when(s["trained"], F.concat(acc.spans, F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))))).otherwise(acc.spans)
         return F.struct((end + F.length(s["tail"])).cast("long").alias("at"), spans.alias("spans"))
 
+    def moved(s: Column, at: Column) -> Column:
+        return F.struct((s.start + at).alias("start"), (s.end + at).alias("end"))
+
+    spans = common.running(F.col("segments"), "cast(array() as array<struct<start:bigint,end:bigint>>)", add, moved)
     formatted = F.array_join(F.transform("segments", lambda s: F.concat(s["head"], s["text"], s["tail"])), "")
-    return cut.select("conv_id", formatted.alias("formatted"), F.aggregate("segments", at, add, lambda acc: acc.spans).alias("loss_spans"))
+    return cut.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def blocks(formatted: Column) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir  # noqa: F401
@@ -51,6 +51,33 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(each: Column, none: str, add: Callable[[Column, Column], Column], moved: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """Spans that a fold over each makes: add(acc, element) has acc.at (long, where it stands) and acc.spans (at first none).
+
+    An array is copied whenever it grows, so blocks are folded on their own and their spans moved to where the block starts.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(none).alias("spans"))
+
+    def of_blocks(e: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(e) - 1, F.lit(0)), F.lit(block)), lambda i: F.aggregate(F.slice(e, i + 1, F.lit(block)), start, add))
+
+    def joined(parts: Column) -> Column:
+        ends = F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + p.at)))
+        return F.flatten(F.zip_with(parts, F.slice(ends, F.lit(1), F.size(parts)), lambda p, at: F.transform(p.spans, lambda s: moved(s, at))))
+
+    return let(let(each, of_blocks), joined)
+
+
+def new_name(columns: list[str], name: str) -> str:
+    """A column's name that can't clash with any of columns, since it is longer."""
+    return max([*columns, ""], key=len) + f"_{name}"
+
+
 def null_safe(*columns: str):
     """A join condition builder: equality of the named columns in which nulls are equal."""
 

@@ -19,6 +19,7 @@ import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -27,50 +28,71 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Remainders that wait at once, and distinct words whose ids a worker remembers.
-POOL, REMEMBERED = 4096, 3 << 19
-#: Latin letters that stay single letters in lower case, with or without a stop, which is a token of its own.
-LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ʯ]+)([.,!?;:]?)").fullmatch
+#: Remainders that wait at once, and distinct words at which a worker forgets the half that it met least.
+POOL, REMEMBERED = 4096, 5 << 17
+#: Words in a text that is encoded at once.
+AT_ONCE = 256
+#: A line is Latin letters that stay single letters in lower case, with or without a stop, which is a token of its own; or anything else.
+LINES = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-įı-ʯ]+)([.,!?;:]?)|(.*))$", re.M).findall
 
 
 class Words(dict):
-    """Numbers words as they come; ``fresh`` are those without ids yet, ``codes`` the ids of the others by number."""
+    """Numbers words as they come; ``fresh`` are those without ids yet, ``codes`` the ids of the others, ``uses`` how often each was met."""
 
     def __init__(self) -> None:
         super().__init__()
         self.fresh: list[str] = []
         self.codes: list[bytes] = []
+        self.uses = np.zeros(0, np.int64)
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self)
         self.fresh.append(word)
         return number
 
+    def count(self, numbers: list[list[int]]) -> None:
+        met = np.bincount(np.fromiter(chain.from_iterable(numbers), np.int64), minlength=len(self))
+        met[: len(self.uses)] += self.uses
+        self.uses = met
+
+    def forget(self) -> None:
+        """Keeps the half that was met most, numbered anew; what it counted so far counts half."""
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: len(self) // 2])
+        names = list(self)
+        names, self.codes = [names[i] for i in stay.tolist()], [self.codes[i] for i in stay.tolist()]
+        self.clear()
+        self.update(zip(names, range(len(names)), strict=True))
+        self.uses = self.uses[stay] // 2
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
+    """The tokenizer at path, one of the same model for words of small letters, which tokens end a word, and the memory of words."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.normalizer = None
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    last = np.zeros(whole.get_vocab_size(), bool)
+    last[[i for token, i in whole.get_vocab().items() if token.endswith("</w>")]] = True
+    return whole, plain, last, Words()
+
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found, Words()
+def _encode_letters(words: list[str], plain, last: np.ndarray) -> Iterator[bytes]:
+    """Ids of each word of small letters. Many are one text; a word's last token alone ends a word."""
+    for at in range(0, len(words), AT_ONCE * 64):
+        texts = [" ".join(words[i : i + AT_ONCE]) for i in range(at, min(at + AT_ONCE * 64, len(words)), AT_ONCE)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)), "<u4")
+        raw, ends = ids.tobytes(), ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
+        yield from (raw[a:b] for a, b in zip([0, *ends], ends, strict=False))
 
 
-def _encode_words(words: list[str], encoder) -> dict[str, bytes]:
-    """Ids of each word. Many are encoded in one text, between bars, which no word next to them can take in; words with a bar go alone."""
-    (bar,) = encoder.encode("|", add_special_tokens=False).ids
-    plain = [w for w in words if "|" not in w]
-    groups = [plain[at : at + 64] for at in range(0, len(plain), 64)] + [[w] for w in words if "|" in w]
-    found = {}
-    for at in range(0, len(groups), 128):
-        part = groups[at : at + 128]
-        for group, e in zip(part, encoder.encode_batch_fast([" | ".join(g) for g in part], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == bar) * 4).tolist() if len(group) > 1 else []
-            for w, begin, stop in zip(group, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True):
-                found[w] = raw[begin:stop]
-    return found
+def _encode_others(words: list[str], whole) -> Iterator[bytes]:
+    """Ids of each word, which goes to the library alone: it may hold a special string."""
+    for at in range(0, len(words), AT_ONCE * 64):
+        for e in whole.encode_batch_fast(words[at : at + AT_ONCE * 64], add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
 
 
 def encode(texts: list[str], path: str, end: int) -> list[bytes]:
@@ -78,18 +100,28 @@ def encode(texts: list[str], path: str, end: int) -> list[bytes]:
 
     Of a word of Latin letters, its lower case and its stop are encoded, which many words share.
     """
-    encoder, words = _encoder(path)
+    whole, plain, last, words = _encoder(path)
     if len(words) > REMEMBERED:
-        words.clear(), words.fresh.clear(), words.codes.clear()
+        words.forget()
     numbers = [list(map(words.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
-    parts = [(m[1].lower(), m[2]) if (m := LETTERS(w)) else (w,) for w in words.fresh]
     before = len(words.codes)
-    made = _encode_words([p for p in {p for ps in parts for p in ps} if p and words.get(p, before) >= before], encoder)
-    made[""] = b""
-    words.codes += [b"".join([made[p] if p in made else words.codes[words[p]] for p in ps]) for ps in parts]
+    lines = LINES("\n".join(words.fresh)) if words.fresh else []
+    small = "\n".join([a for a, _, _ in lines]).lower().split("\n")
+    made: dict[str, bytes] = {"": b""}
+    for parts, coded in ((small, lambda new: _encode_letters(new, plain, last)), ([p for _, stop, odd in lines for p in (stop, odd)], lambda new: _encode_others(new, whole))):
+        new = []
+        for part in dict.fromkeys(parts):
+            number = words.get(part, before)
+            if number < before:
+                made[part] = words.codes[number]
+            elif part:
+                new.append(part)
+        made.update(zip(new, coded(new), strict=True))
+    words.codes += [made[a] + made[stop] if a else made[odd] for a, (_, stop, odd) in zip(small, lines, strict=False)]
     words.fresh.clear()
-    last = np.array([end], "<u4").tobytes()
-    return [b"".join(map(words.codes.__getitem__, n)) + last for n in numbers]
+    words.count(numbers)
+    close = np.array([end], "<u4").tobytes()
+    return [b"".join(map(words.codes.__getitem__, n)) + close for n in numbers]
 
 
 def fill(counts: dict[int, int], room: int) -> list[int]:

@@ -3,8 +3,9 @@
 A text is a bag of passages. Every passage is encoded: how often each pair of byte classes follows one another, how
 well the passage and its text compress, and the text's length. A gated attention network learns from labels of whole
 documents which passages matter: each gets a weight, the weighted sum of the passages' hidden representations stands
-for the document, and a logistic layer scores it. The network is trained on the driver on a bounded sample
-(``PER_CLASS`` documents of each class, ``BAG`` evenly spaced passages of each); scoring takes every passage.
+for the document, and a logistic layer scores it. The network is trained on the driver on a bounded sample of documents
+(at most ``PER_CLASS`` of each class and ``PASSAGES`` passages in all: beyond that, further documents are left out whole);
+training and scoring take every passage of a document.
 
 Only the text's bytes are features. Defined cases: null and empty texts are one passage without bytes; repeated rows
 each get a row; without labels every score is 0.5, with labels of one class it is that class.
@@ -23,8 +24,10 @@ from pyspark.sql import types as T
 
 from . import common, labelled
 
-#: Bytes of a passage; most sampled documents of a class and passages of each; width of the hidden representation; passes over the sample.
-PASSAGE, PER_CLASS, BAG, HIDDEN, EPOCHS = 512, 4000, 48, 24, 30
+#: Bytes of a passage; most sampled documents of a class, and passages of them all; width of the hidden representation; passes over the sample.
+PASSAGE, PER_CLASS, PASSAGES, HIDDEN, EPOCHS = 512, 4000, 1 << 17, 24, 30
+#: Passages whose pairs are counted at once.
+AT_ONCE = 4096
 
 # Byte classes.
 GROUPS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "!?", ";:", "#$%&*", "|", "'\"-()[]{}", "@/\\_=+<>~^`")
@@ -44,28 +47,30 @@ CLASS_OF = _class_of()
 WIDTH = CLASSES * CLASSES + 4
 
 
-def encode(texts: list[bytes], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages of the texts (at most ``most`` of each, evenly spaced), and where each text's begin."""
+def _shares(passages: list[bytes]) -> np.ndarray:
+    """Square roots of the shares of each pair of byte classes in each passage's neighbours."""
+    size = np.array([len(p) for p in passages])
+    code = CLASS_OF[np.frombuffer(b"".join(passages), np.uint8)]
+    owner = np.repeat(np.arange(len(passages)), size)
+    pair = (owner[1:] * CLASSES + code[:-1]) * CLASSES + code[1:]
+    pair = pair[owner[1:] == owner[:-1]]
+    counts = np.bincount(pair, minlength=len(passages) * CLASSES * CLASSES).reshape(len(passages), -1)
+    return np.sqrt(counts / np.maximum(size - 1, 1)[:, None]).astype(np.float32)
+
+
+def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages of the texts, and where each text's begin."""
     passages, ends, rest = [], [0], []
     for t in texts:
-        starts = range(0, max(len(t), 1), PASSAGE)
-        if most and len(starts) > most:
-            starts = [starts[i * len(starts) // most] for i in range(most)]
-        own = [t[s : s + PASSAGE] for s in starts]
+        own = [t[s : s + PASSAGE] for s in range(0, max(len(t), 1), PASSAGE)]
         whole = len(zlib.compress(t, 1)) / max(len(t), 1) if len(t) > PASSAGE else None
         for p in own:
             squeezed = len(zlib.compress(p, 1)) / max(len(p), 1)
             rest.append((min(squeezed, 2.0), min(squeezed if whole is None else whole, 2.0), np.log1p(len(t)), float(not p)))
         passages += own
         ends.append(len(passages))
-    size = np.array([len(p) for p in passages])
-    code = CLASS_OF[np.frombuffer(b"".join(passages), np.uint8)]
-    owner = np.repeat(np.arange(len(passages)), size)
-    pair = (owner[1:] * CLASSES + code[:-1]) * CLASSES + code[1:]
-    pair = pair[owner[1:] == owner[:-1]]
-    counts = np.bincount(pair, minlength=len(passages) * CLASSES * CLASSES).reshape(len(passages), -1)
-    shares = np.sqrt(counts / np.maximum(size - 1, 1)[:, None])
-    return np.hstack([shares, np.array(rest).reshape(-1, 4)]).astype(np.float32), np.array(ends)
+    shares = [_shares(passages[i : i + AT_ONCE]) for i in range(0, len(passages), AT_ONCE)]
+    return np.hstack([np.concatenate([np.empty((0, CLASSES * CLASSES), np.float32), *shares]), np.array(rest, np.float32).reshape(-1, 4)]), np.array(ends)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -132,13 +137,18 @@ class Network:
         return self.forward(*encode(texts))[0]
 
 
-def fit(documents: DataFrame, labels: DataFrame, usable, label: str = "quality", id_column: str = "doc_id", column: str = "text", per_class: int = PER_CLASS) -> Network | float:
+def fit(documents: DataFrame, labels: DataFrame, usable, label: str = "quality", id_column: str = "doc_id", column: str = "text", per_class: int = PER_CLASS, most: int = PASSAGES) -> Network | float:
     """The trained network, or a constant score where the labels can't tell anything."""
     examples, natural = labelled.sample(documents, labels, label, usable, per_class, id_column, column)
+    n_passages = F.greatest(F.ceil(F.coalesce(F.octet_length(column), F.lit(0)) / PASSAGE), F.lit(1))
+    sizes = examples.groupBy(F.col(id_column).alias("id")).agg(F.sum(n_passages).alias("n")).orderBy(F.xxhash64("id"), "id").collect()
+    left_out = [r.id for r, total in zip(sizes, np.cumsum([r.n for r in sizes]).tolist(), strict=True) if total > most]
+    if left_out:
+        examples = examples.where(~F.col(id_column).isin(left_out))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1 << 20, column):
-            x, at = encode([(t or "").encode() for t in batch.column(column).to_pylist()], BAG)
+            x, at = encode([(t or "").encode() for t in batch.column(column).to_pylist()])
             bags = [x[a:b].astype(np.float16).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(id_column).cast(pa.string()), batch.column("label"), pa.array(bags, pa.binary())], ["id", "label", "bag"])
 

@@ -32,6 +32,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(secrets.listed(base), 256).alias("base_sha256"),
         secrets.listed(F.concat(base, "linked")).alias("spans"),
+        F.coalesce(secrets.listed_links(F.col("links")), F.lit("")).alias("links"),
     )
 
 
@@ -41,25 +42,33 @@ WITH kinds(kind, name, pattern, measured, least) AS (VALUES
   (1, 'access', 'AKIA[A-Z0-9]+', 0, 16),
   (2, 'hex', '[0-9a-f]+', 0, 32),
   (3, 'linked_secret', '[A-Za-z0-9+/]+', 0, 40),
-  (4, 'linked_endpoint', 'https?://[^\s"''<>]{4,}', 0, 1)),
-docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+  (4, 'linked_endpoint', 'https?://[^\x20\x09-\x0D"''<>]{4,}', 0, 1)),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 matched AS (
   SELECT r, kind, name, least, text, regexp_extract_all(text, pattern, 0) AS m, regexp_extract_all(text, pattern, measured::INT) AS v,
     string_split_regex(text, pattern) AS p
-  FROM docs, kinds WHERE regexp_matches(text, CASE kind WHEN 2 THEN '[0-9a-f]{32}' WHEN 3 THEN 'AKIA' WHEN 4 THEN 'AKIA' ELSE pattern END)),
+  FROM docs, kinds WHERE regexp_matches(text, CASE kind WHEN 2 THEN '[0-9a-f]{32}' WHEN 3 THEN 'AKIA|http' ELSE pattern END)),
 places AS (SELECT r, kind, name, least, m, v, p, unnest(range(1, len(m) + 1)) AS i FROM matched),
-sized AS (SELECT r, kind, name, least, i, length(v[i]) AS size, length(p[i]) AS gap, length(m[i]) AS long FROM places),
+sized AS (SELECT r, kind, name, least, i, m[i] AS own, length(v[i]) AS size, length(p[i]) AS gap, length(m[i]) AS long FROM places),
 spans AS (
-  SELECT r, kind, name, least, size, sum(gap + long) OVER (PARTITION BY r, kind ORDER BY i) AS stop, long FROM sized),
-found AS (SELECT r, kind, name, (stop - long)::BIGINT AS start, stop::BIGINT AS stop FROM spans
-  WHERE size >= least AND (kind != 3 OR size = least)),
-reported AS (SELECT * FROM found w WHERE kind < 3 OR EXISTS (
-  SELECT 1 FROM found a WHERE a.r = w.r AND a.kind = 1 AND w.start <= a.stop + 200 AND w.stop >= a.start - 200)),
+  SELECT r, kind, name, least, size, own, sum(gap + long) OVER (PARTITION BY r, kind ORDER BY i) AS stop, long FROM sized),
+found AS MATERIALIZED (SELECT r, kind, name, (stop - long)::BIGINT AS start, stop::BIGINT AS stop FROM spans
+  WHERE size >= least AND (kind != 3 OR regexp_matches(own, '[0-9]') AND regexp_matches(own, '[a-z]') AND regexp_matches(own, '[A-Z]'))),
+links AS MATERIALIZED (
+  SELECT s.r, s.start, s.stop, p.kind, p.name, p.start AS part_start, p.stop AS part_stop
+  FROM found s JOIN found p ON p.r = s.r AND s.kind = 3 AND p.kind IN (1, 4) AND s.start <= p.stop + 200 AND s.stop >= p.start - 200
+  WHERE NOT EXISTS (SELECT 1 FROM found e WHERE e.r = s.r AND e.kind = 4 AND s.start < e.stop AND s.stop > e.start)),
+reported AS (
+  SELECT * FROM found WHERE kind < 3
+  UNION SELECT r, 3, 'linked_secret', start, stop FROM links
+  UNION SELECT r, 4, 'linked_endpoint', part_start, part_stop FROM links WHERE kind = 4),
 joined AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
-  string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM reported GROUP BY r)
+  string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM reported GROUP BY r),
+told AS (SELECT r, string_agg(start || ':' || stop || '=' || name || ':' || part_start || ':' || part_stop, ',' ORDER BY start, part_start, kind) AS links FROM links GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN joined USING (r)
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(links, '') AS links
+FROM docs LEFT JOIN joined USING (r) LEFT JOIN told USING (r)
 """
 
 
@@ -122,8 +131,8 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = labelled.fold("doc_id", 3) == 1
-    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
-    return toxicity.score(documents, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+    scored = toxicity.score(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,17 +245,23 @@ def near_components(documents: DataFrame, prints: DataFrame, id_column: str, col
 
 
 def keep_first(documents: DataFrame, id_column: str = "doc_id", column: str = "text", words: int = 5) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id, or one row where none has an id. Of repeated rows of that id, one stays."""
-    prints = common.cut(shingle_sets(documents.select(id_column, column), column, words))
+    """One row of each group of near copies: that of the smallest id (rows without an id come last, then the smallest text hash).
+
+    Rows are told apart by id and text, so different texts of one id are judged each on its own.
+    """
+    own, first_hash, first_id = (common.new_name(documents.columns, n) for n in ("hash", "first_hash", "first_id"))
+    hashed = documents.withColumn(own, F.xxhash64(F.coalesce(F.col(f"`{column}`"), F.lit(""))))
+    prints = common.cut(shingle_sets(hashed.select(F.col(f"`{id_column}`").alias(id_column), F.col(f"`{column}`").alias(column), F.col(f"`{own}`").alias("text_hash")), column, words))
     roots = near_components(documents, prints, id_column, column, words)
-    held = prints.groupBy("set_key").agg(F.min(id_column).alias("least_id"))
-    grouped = common.cut(held.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")))
-    named = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    to = common.cut(grouped.join(named, "root").select("set_key", "root", "component_id"))
-    first = common.cut(prints.select(id_column, "set_key").join(to, "set_key").where(F.col(id_column) == F.col("component_id")).select(id_column))
-    kept = documents.join(first.distinct(), id_column, "left_semi")
-    if first.groupBy(id_column).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_column])
-    rows = documents.where(F.col(id_column).isNull()).select(F.struct("*").alias("row"), column)
-    nameless = shingle_sets(rows, column, words).select("row", "set_key").join(to.where("component_id is null"), "set_key")
-    return kept.unionByName(nameless.groupBy("root").agg(F.min_by("row", "set_key").alias("row")).select("row.*"))
+    place = F.struct(F.col(id_column).isNull().alias("nameless"), F.col(id_column).alias("id"), F.col("text_hash"))
+    least = prints.groupBy("set_key").agg(F.min(place).alias("least"))
+    grouped = least.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    first = common.cut(grouped.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias(first_id), F.col("least.text_hash").alias(first_hash)))
+    same = hashed[own].eqNullSafe(first[first_hash]) & hashed[id_column].eqNullSafe(first[first_id])
+    kept = hashed.join(first, same, "left_semi")
+    # rows of a first document's id and text that are repeated
+    many = prints.groupBy(F.col(id_column).alias(first_id), F.col("text_hash").alias(first_hash)).agg(F.count("*").alias("n")).where("n > 1")
+    again = many.alias("m").join(first.alias("f"), F.col(f"m.`{first_id}`").eqNullSafe(F.col(f"f.`{first_id}`")) & (F.col(f"m.`{first_hash}`") == F.col(f"f.`{first_hash}`")), "left_semi")
+    if again.limit(1).count():
+        kept = kept.dropDuplicates([id_column, own])
+    return kept.select(*[F.col(f"`{c}`") for c in documents.columns])

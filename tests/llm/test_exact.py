@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from peergraph.llm import bpe, chat, iblt, media, packing, repeats, secrets, simhash
+from peergraph.llm import bpe, chat, iblt, media, packing, queries, repeats, secrets, simhash
 
 SMALL = "/root/testdata/sf0.001"
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -78,10 +78,64 @@ def test_secret_base_spans(spark, docs):
     assert found == Counter((i, tuple(base_spans(t))) for i, t in texts(both))
 
 
-def test_weak_candidates_need_a_key_in_reach(spark):
-    rows = spark.createDataFrame(SECRETS, "doc_id long, text string")
-    linked = {r.id: sorted((secrets.KINDS[s.kind], s.start) for s in r.linked) for r in secrets.scan(rows).collect() if r.linked}
-    assert linked == {2: [("linked_endpoint", SECRETS[1][1].index("https")), ("linked_secret", 22)]}
+MIX = "aB3" + "x" * 37
+LINKED = [
+    (1, "AKIA" + "A" * 12 + " then " + MIX + " at https://host.example/x " + "0123456789abcdef" * 2),
+    (2, MIX + " with nothing near"),
+    (3, "AKIA" + "B" * 12 + "." * 500 + MIX),
+    (4, MIX + "." * 199 + " https://a.example/b"),
+    (5, "https://a.example/" + "/".join([MIX] * 3) + " AKIA" + "C" * 12),  # within the URL: no secret
+    (5, "key/" + MIX + " http://ab.cd"),
+    (6, "AKIA" + "D" * 12 + " https://only.endpoint and " + "b" * 20 + "B" * 20),  # no digit
+    (7, None),
+    (None, "🙂" + MIX + " " + MIX + "9 AKIA" + "E" * 12 + " https://u.v/w"),
+    (None, "🙂" + MIX + " " + MIX + "9 AKIA" + "E" * 12 + " https://u.v/w"),
+    (8, " ".join([MIX, "AKIA" + "F" * 12, "https://u.v/w", "x" * 90]) + " " + ("token=abcdefgh1 " + "y" * 30) * 3000),
+]
+
+
+def links_by_hand(text):
+    import re
+
+    ends = [m.span() for m in re.finditer(r"""https?://[^\x20\x09-\x0D"'<>]{4,}""", text)]
+    runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/]{40,}", text) if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
+    runs = [(a, b) for a, b in runs if not any(a < d and b > c for c, d in ends)]
+    parts = [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16] + [(a, 4, b) for a, b in ends]
+    return sorted((a, b, *p) for a, b in runs for p in parts if a <= p[2] + 200 and b >= p[0] - 200)
+
+
+def test_links_by_hand(spark):
+    rows = spark.createDataFrame([(*r, "x") for r in LINKED], "doc_id long, text string, links string")
+    found = secrets.scan(rows).collect()
+    links = Counter((r.id, tuple((x.secret.start, x.secret.end, x.part.start, x.part.kind, x.part.end) for x in r.links or [])) for r in found)
+    assert links == Counter((i, tuple(links_by_hand(t or ""))) for i, t in LINKED)
+    assert sum(map(len, (r.linked for r in found))) > 8
+    for r in found:
+        assert {(s.start, s.kind) for s in r.linked} == {(x.secret.start, 3) for x in r.links or []} | {(x.part.start, 4) for x in r.links or [] if x.part.kind == 4}
+    clean = {r.doc_id: r.text for r in secrets.redact(rows.where("doc_id in (1, 3)")).collect()}
+    assert clean == {1: "[SECRET] then [SECRET] at [SECRET] [SECRET]", 3: "[SECRET]" + "." * 500 + MIX}
+
+
+def test_secret_scan_agrees_with_sql(spark, tmp_path):
+    import duckdb
+
+    both = spark.createDataFrame(LINKED + SECRETS, "doc_id long, text string").unionByName(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
+    both.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op2_secret_scan(spark, str(tmp_path))
+    held = duckdb.connect()
+    held.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = held.execute(queries.ORACLE["op2_secret_scan"])
+    names = [d[0] for d in want.description]
+    assert Counter(map(tuple, found.select(*names).collect())) == Counter(want.fetchall())
+
+
+def test_many_matches_in_one_text(spark):
+    text = ("token=abcdefgh1 " + "🙂 " * 3) * 60_000
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("assign").alias("n"), F.element_at("assign", -1).alias("last")).first()
+    assert row.n == 60_000 and (row.last.start, row.last.end) == (len(text) - 22, len(text) - 7)
+    turns = spark.range(40_000).selectExpr("7 AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "'some text' AS text")
+    found = chat.format_conversations(turns).select(F.size("loss_spans").alias("n"), F.length(chat.under_mask(F.col("formatted"), F.slice("loss_spans", 19_990, 10))).alias("chars")).first()
+    assert (found.n, found.chars) == (20_000, 90)
 
 
 def test_redaction(spark):
@@ -230,6 +284,17 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_first(rows.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_judged_apart(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+
+    def kept(rows):
+        return Counter(map(tuple, simhash.keep_first(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, root string")).select("doc_id", "text").collect()))
+
+    assert kept([(5, a), (5, b), (3, c)]) == Counter([(5, a), (5, b), (3, c)])
+    assert kept([(3, a), (5, b), (5, a)]) == Counter([(3, a), (5, b)])
+    assert kept([(5, a), (5, a), (5, a + " end"), (None, b), (None, b), (None, c)]) in [Counter([(5, t), (None, b), (None, c)]) for t in (a, a + " end")]
+
+
 def test_rows_without_id_are_deduplicated(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(7, text), (None, text), (None, text + " end"), (None, "alone in the group"), (None, "alone in the group"), (None, None), (None, "")]
@@ -306,12 +371,27 @@ def packed(frame):
     return rows, filled
 
 
+SPECIAL = ["a <|endoftext|> b", "x<|endoftext|>y.", "<|startoftext|>", "<|ENDOFTEXT|> <|endof\ntext|> <| endoftext|>", "|<|endoftext|>|. <|startoftext|>q | <|endoftext|><|endoftext|>", "e<|endoftext|>\u0301 don't"]
+
+
+def test_words_are_forgotten_without_effect(docs, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    library, own = Tokenizer.from_file(WORDS), [t for _, t in texts(docs)] + SPECIAL
+    packing._encoder.cache_clear()
+    for begin in range(0, len(own), 20):
+        part = own[begin : begin + 20]
+        assert packing.encode(part, WORDS, 1) == [np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in part]
+    packing._encoder.cache_clear()
+
+
 def test_packing(spark, odd, docs):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
-    both = odd.where("doc_id is null or doc_id < 5 or doc_id = 6").select("doc_id", "text").unionByName(docs.select((F.col("doc_id") + 100).alias("doc_id"), "text")).withColumn("offset", F.lit("clash"))
+    special = spark.createDataFrame([(20 + i, t) for i, t in enumerate(SPECIAL)], "doc_id long, text string")
+    both = odd.where("doc_id is null or doc_id < 5 or doc_id = 6").select("doc_id", "text").unionByName(special).unionByName(docs.select((F.col("doc_id") + 100).alias("doc_id"), "text")).withColumn("offset", F.lit("clash"))
     rows, filled = packed(packing.pack(both, WORDS))
     assert all(n <= 2048 for n in filled.values())
     assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in filled.values()) <= 0.001 * sum(filled.values())

@@ -1,5 +1,8 @@
 """The operators that learn from labels: held-out accuracy, exact search, gradients, edge cases; and the pipeline."""
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -38,11 +41,12 @@ def test_all_telling_words_are_features():
     assert set(telling) <= set(toxicity.choose_terms(texts, np.repeat([1, 0], 20)))
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
     rng = np.random.default_rng(1)
-    vectors = rng.random((300, 20)) * (rng.random((300, 20)) < 0.2)
+    vectors = rng.random((600, 20)) * (rng.random((600, 20)) < 0.2)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    index = toxicity.Index(vectors, list(range(300)), rng.integers(0, 2, 300))
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    index = toxicity.Index([(np.flatnonzero(v), v[v > 0]) for v in vectors], 20, list(range(600)), rng.integers(0, 2, 600))
     for _ in range(50):
         terms = np.sort(rng.choice(20, 4, replace=False))
         weights = rng.random(4)
@@ -53,6 +57,30 @@ def test_block_max_search_is_exact():
         assert [float(vectors[index.ids[i], terms] @ weights) for i in where] == pytest.approx(cosine.tolist())
 
 
+def test_toxicity_by_brute_force(spark):
+    """Cosines of the evidence: every example against every document, over plain dictionaries."""
+    documents = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    distinct = sorted({(texts[i], toxic[i]) for i in toxic if i in texts})
+    terms = set(toxicity.choose_terms([t for t, _ in distinct], np.array([y for _, y in distinct])))
+    counts = {i: Counter(f for w in toxicity.words(t) for f in toxicity.features(w) if f in terms) for i, t in texts.items()}
+    df = Counter(f for c in counts.values() for f in c)
+
+    def vector(c):
+        v = {f: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + df[f])) + 1) for f, n in c.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {f: x / norm for f, x in v.items()}
+
+    examples = {(texts[i], toxic[i]): vector(counts[i]) for i in toxic if i in texts}
+    found = queries.op7_toxicity(spark, DATA).collect()
+    assert Counter(r.doc_id for r in found) == Counter(texts.keys())
+    for r in found:
+        own = vector(counts[r.doc_id])
+        best = sorted((c for e in examples.values() if (c := sum(x * e.get(f, 0) for f, x in own.items())) > 0), reverse=True)[:3]
+        assert [float(e.split(":")[1]) for e in r.evidence.split(",") if e] == pytest.approx(best, abs=0.00051)
+
+
 def test_gradient_of_the_network():
     rng = np.random.default_rng(4)
     x, at, y = rng.normal(size=(9, 5)), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
@@ -73,6 +101,16 @@ def test_gradient_of_the_network():
             assert g[place] == pytest.approx((up - down) / 2e-6, abs=1e-6)
 
 
+def test_the_sample_is_bounded_by_whole_documents(spark):
+    rows = spark.createDataFrame([(i, ("good words " if i % 2 else "b4d!! ") * 200) for i in range(20)], "doc_id long, text string")
+    labels = rows.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality")
+    assert quality.fit(rows, labels, F.lit(True), most=0) == 0.5
+    score = {r.doc_id: r.score for r in quality.score(rows, quality.fit(rows, labels, F.lit(True), most=60)).collect()}
+    assert min(score[i] for i in range(1, 20, 2)) > max(score[i] for i in range(0, 20, 2))
+    x, at = quality.encode([b"a b" * 3_000_000])
+    assert at.tolist() == [0, len(x)] and len(x) == -(-9_000_000 // quality.PASSAGE)
+
+
 def test_attention_sums_to_one():
     x, at = quality.encode([b"", b"abc " * 400, b"x"])
     assert at.tolist() == [0, 1, 5, 6]
@@ -85,19 +123,23 @@ def test_isotonic():
     assert np.interp([1, 2, 3, 4], x, v).tolist() == [0, 0.5, 0.5, 1]
 
 
+def scored(module, rows, labels, label):
+    if module is toxicity:
+        return toxicity.score(rows, labels, F.lit(True), label)
+    return quality.score(rows, quality.fit(rows, labels, F.lit(True), label))
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_edge_cases(spark, module):
     label = "toxic" if module is toxicity else "quality"
-    rows = spark.createDataFrame([(1, "fine words"), (1, "fine words"), (2, None), (None, ""), (3, "bad " * 5000)], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    rows = spark.createDataFrame([(1, "fine words"), (1, "fine words"), (2, None), (None, ""), (3, "bad " * 5000)], "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("terms", F.lit("clash"))
     labels = spark.createDataFrame([(1, 0), (3, 1), (9, 1), (2, None)], f"doc_id long, {label} int")
-    model = module.fit(rows, labels, F.lit(True), label)
-    found = module.score(rows, model).collect()
+    found = scored(module, rows, labels, label).collect()
     assert len(found) == 5
-    assert all(0 <= r.score <= 1 for r in found)
+    assert all(0 <= r.score <= 1 and r.terms == "clash" for r in found)
     for only, want in ((labels.where(f"{label} = 1"), 1.0), (labels.limit(0), 0.0 if module is toxicity else 0.5)):
-        constant = module.fit(rows, only, F.lit(True), label)
-        assert {r.score for r in module.score(rows, constant).collect()} == {want}
-    assert module.score(rows.limit(0), model).count() == 0
+        assert {r.score for r in scored(module, rows, only, label).collect()} == {want}
+    assert scored(module, rows.limit(0), labels, label).count() == 0
 
 
 def test_pipeline_stages(spark):
