@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(documents: DataFrame, rows: int = 1000) -> None:
+    """Whole texts go to Python by so many rows, unless the session has a setting of its own: both sides hold a batch at once."""
+    conf, name = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(rows))
+
+
 def utf8(text: pa.Array | pa.ChunkedArray) -> tuple[memoryview, list[int]]:
     """A string column's bytes and offsets (length rows + 1); a null text has length 0."""
     if isinstance(text, pa.ChunkedArray):

@@ -93,6 +93,7 @@ def feature(payload: bytes, height: int) -> str:
 
 def store(documents: DataFrame, folder: str, id_column: str = "doc_id", column: str = "text") -> DataFrame:
     """(id, n_bytes, digest, shard, at, length) for each row; the shards are written to folder."""
+    common.small_batches(documents)
     kind = documents.schema[id_column].dataType.simpleString()
     names = [id_column, "n_bytes", "digest", "shard", "at", "length"]
 
@@ -155,7 +156,8 @@ def canonical(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(place).alias("place")).select("digest", "place.*")
 
 
-#: Column names and Spark types of what is read back.
+#: A payload's digest and its place; then column names and Spark types of what is read back.
+PLACE = ("digest", "shard", "at", "length")
 METADATA = {"width": "long", "height": "long", "bits": "long"}
 FEATURES = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
 
@@ -170,7 +172,7 @@ def _features(medium: bytes) -> tuple:
 
 
 def _read(places: DataFrame, folder: str, wanted: dict[str, str], *ranges: tuple) -> DataFrame:
-    """(digest, wanted): for each place and each of ranges (bytes at most, function), the columns made of those bytes.
+    """(digest, shard, at, length, wanted): for each place and each of ranges (bytes at most, function), the columns made of those bytes.
 
     Places are dealt by shard, which holds a bounded number of bytes, and a shard is opened once.
     """
@@ -184,36 +186,36 @@ def _read(places: DataFrame, folder: str, wanted: dict[str, str], *ranges: tuple
             for begin in range(0, batch.num_rows, 1024):
                 part = batch.slice(begin, 1024)
                 found = []
-                for digest, shard, at, length in zip(*[part.column(c).to_pylist() for c in ("digest", "shard", "at", "length")], strict=True):
+                for digest, shard, at, length in zip(*[part.column(c).to_pylist() for c in PLACE], strict=True):
                     if shard != name:
                         if file:
                             file.close()
                         name, file = shard, system.open_input_file(f"{root}/{shard}.tar")
-                    row = [digest]
+                    row = [digest, shard, at, length]
                     for most, columns_of in ranges:
                         file.seek(at)
                         row += columns_of(file.read(min(length, most)))
                     found.append(row)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["digest", *wanted])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], [*PLACE, *wanted])
         if file:
             file.close()
 
     near = places.repartition("shard").sortWithinPartitions("shard", "at")
-    return near.select("digest", "shard", "at", "length").mapInArrow(go, ", ".join(["digest binary", *[f"{c} {t}" for c, t in wanted.items()]]))
+    return near.select(*PLACE).mapInArrow(go, ", ".join(["digest binary, shard string, at long, length long", *[f"{c} {t}" for c, t in wanted.items()]]))
 
 
 def metadata(places: DataFrame, folder: str) -> DataFrame:
-    """(digest, width, height, bits): only headers are read."""
+    """(digest, its place, width, height, bits): only headers are read."""
     return _read(places, folder, METADATA, (HEADER, _metadata))
 
 
 def features(places: DataFrame, folder: str) -> DataFrame:
-    """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), all from the stored bytes."""
+    """(digest, its place, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), all from the stored bytes."""
     return _read(places, folder, FEATURES, (sys.maxsize, _features))
 
 
 def columns(documents: DataFrame, id_column: str = "doc_id", column: str = "text", folder: str | None = None) -> DataFrame:
-    """Stores the texts' payloads and reads them back: (digest, id, n_bytes), metadata from headers, features from the whole."""
+    """Stores the texts' payloads and reads them back: (id, n_bytes, digest, shard, at, length), metadata from headers, features from the whole."""
     folder = folder or f"{common.shared_dir(documents.sparkSession)}/media-{uuid.uuid4().hex}"
     rows = common.cut(store(documents, folder, id_column, column))
     read = _read(canonical(rows), folder, METADATA | FEATURES, (HEADER, _metadata), (sys.maxsize, _features))

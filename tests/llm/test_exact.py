@@ -33,7 +33,7 @@ def texts(frame):
     return [(r.doc_id, r.text or "") for r in frame.collect()]
 
 
-@pytest.mark.parametrize("head", [0, 300])
+@pytest.mark.parametrize("head", [0, 300, bpe.HEAD])
 def test_bpe_agrees_with_the_library(spark, odd, docs, head):
     import tiktoken
 
@@ -231,16 +231,50 @@ def test_likeness_is_of_paragraph_sets():
     assert iblt.likeness(iblt.digests(a), iblt.digests(b)).tolist() == pytest.approx([by_hand(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def test_each_document_meets_its_successor(spark, docs, monkeypatch):
-    monkeypatch.setattr(iblt, "PART", 30_000)
+def by_multisets(a, b):
+    x, y = Counter(iblt.paragraphs(a)), Counter(iblt.paragraphs(b))
+    either = sum((x | y).values())
+    return sum((x & y).values()) / either if either else 1.0
+
+
+@pytest.mark.parametrize("part", [30_000, 1 << 30])
+def test_each_document_meets_its_successor(spark, docs, monkeypatch, part):
+    monkeypatch.setattr(iblt, "PART", part)
     rows = sorted(texts(docs), reverse=True)
     found = {r.doc_id: r for r in iblt.against_next(docs).collect()}
     for (i, text), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
-        assert found[i].edited_sha256 == hashlib.sha256(iblt.edited(text, after).encode()).hexdigest()
-        assert found[i].n_chars == len(text)
-    odd = spark.createDataFrame([(1, "a"), (1, "b. c"), (None, None), (None, "z"), (2, "")], "doc_id long, text string")
-    assert iblt.against_next(odd).count() == 5
-    assert iblt.against_next(odd.limit(0)).count() == 0
+        changed = iblt.edited(text, after)
+        assert found[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert (found[i].n_chars, found[i].near_edited, found[i].near_next) == (len(text), pytest.approx(by_multisets(text, changed)), pytest.approx(by_multisets(text, after)))
+    assert len({r.fingerprint for r in found.values()}) == len({t for _, t in rows if t}) + any(not t for _, t in rows)
+
+
+@pytest.mark.parametrize("part", [400, 1 << 30])
+def test_successors_of_odd_rows(spark, docs, monkeypatch, part):
+    """Null and repeated ids, and rows that are repeated very often: each follows a row of its id, or the first of the next."""
+    monkeypatch.setattr(iblt, "PART", part)
+    odd = [(1, "a"), (1, "b. c"), (None, None), (None, "z"), (-(1 << 63), "least"), (2, ""), *[(7, "hot row. again")] * 200, *[(None, f"n{i}") for i in range(60)], *[(7, f"same id {i}") for i in range(60)]]
+    rows = spark.createDataFrame([(*r, "x", "y") for r in odd], "doc_id long, text string, h string, part string").repartition(7)
+    hashed = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    chain = sorted(((r.doc_id is not None, r.doc_id or 0, r.h, r.t, r.doc_id) for r in hashed), reverse=True)
+    want = Counter((r[4], len(r[3]), hashlib.sha256(iblt.edited(r[3], n[3]).encode()).hexdigest()) for r, n in zip(chain, [*chain[1:], chain[0]], strict=True))
+    found = iblt.against_next(rows.cache()).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in found) == want
+    assert iblt.against_next(rows.limit(0)).count() == 0
+
+
+def test_long_texts_without_stops_have_cells():
+    rng = np.random.default_rng(8)
+    words = [f"word{i}" for i in range(3000)]
+    many = " ".join(rng.choice(words, 4000))
+    for text in (many, "word " * 3000, "".join(map(chr, rng.integers(0x4E00, 0x9000, 6000))), "a" * 5000):
+        assert "".join(iblt.paragraphs(text)).replace(" ", "") == text.replace(" ", "")
+        half = text[: len(text) // 2] + "other " * 200
+        assert iblt.likeness(iblt.digests([text]), iblt.digests([half]))[0] > 0.2
+    assert iblt.likeness(iblt.digests(["x. " * 200_000 + "end"]), iblt.digests(["y. " * 200_000 + "end"]))[0] == pytest.approx(1 / 400_001)
+
+
+def test_equal_texts_have_equal_fingerprints(spark):
     prints = [r.fingerprint for r in iblt.fingerprints(spark.createDataFrame([(1, "x. y"), (2, "x. y"), (3, None)], "doc_id long, text string")).orderBy("doc_id").collect()]
     assert prints[0] == prints[1] != prints[2]
 
@@ -374,15 +408,14 @@ def packed(frame):
 SPECIAL = ["a <|endoftext|> b", "x<|endoftext|>y.", "<|startoftext|>", "<|ENDOFTEXT|> <|endof\ntext|> <| endoftext|>", "|<|endoftext|>|. <|startoftext|>q | <|endoftext|><|endoftext|>", "e<|endoftext|>\u0301 don't"]
 
 
-def test_words_are_forgotten_without_effect(docs, monkeypatch):
+def test_words_are_forgotten_without_effect(docs):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "REMEMBERED", 50)
     library, own = Tokenizer.from_file(WORDS), [t for _, t in texts(docs)] + SPECIAL
     packing._encoder.cache_clear()
     for begin in range(0, len(own), 20):
         part = own[begin : begin + 20]
-        assert packing.encode(part, WORDS, 1) == [np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in part]
+        assert packing.encode(part, WORDS, 1, remembered=50) == [np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in part]
     packing._encoder.cache_clear()
 
 
