@@ -202,9 +202,11 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 def frequent(documents: DataFrame, path: str, pattern: str, column: str = "text", most: int = HEAD) -> pa.Table:
-    """(piece, ids) of the most frequent pieces of all documents, as counted word by word.
+    """(piece, ids) of the most frequent pieces of all documents, at most ``most``, as counted word by word.
 
-    Which pieces these are decides only how often a piece is encoded, not how."""
+    Which pieces these are decides only how often a piece is encoded, not how. A histogram of the counts gives the count from
+    which pieces are taken (of those at the bound, a share by hash): none is sorted, and no task holds them all.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder(pattern)
@@ -225,8 +227,16 @@ def frequent(documents: DataFrame, path: str, pattern: str, column: str = "text"
                 yield out()
         yield out()
 
-    counted = documents.select(column).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "piece").limit(most).select("piece")
+    counted = common.cut(documents.select(column).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")))
+    bucket = F.floor(F.log2("n") * 32)  # 32 a doubling: small counts each have their own
+    left, least, share = most, 0, 1.0
+    for r in sorted(counted.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("pieces")).collect(), key=lambda r: -r.bucket):
+        if r.pieces > left:
+            least, share = r.bucket, 0.99 * left / r.pieces
+            break
+        left -= r.pieces
+    some = F.pmod(F.xxhash64("piece"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    top = counted.where((bucket > least) | (bucket == least) & some).select("piece")
     single = F.array(*[F.lit(int(x)) for x in _single(path)])
     coded = F.hex(F.encode("piece", "UTF-8"))
     start = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda i: F.get(single, F.conv(F.substring(coded, i * 2 - 1, F.lit(2)), 16, 10).cast("int")))
@@ -239,6 +249,7 @@ def encode(documents: DataFrame, path: str, pattern: str, column: str = "text",
 
     With ``decoded``, a column of that name has the bytes that ``decode`` makes of the ids, made in the same stage.
     """
+    common.small_batches(documents)
     spark = documents.sparkSession
     kept = [f for f in documents.schema.fields if f.name not in (column, out, decoded)]
     ahead = frequent(documents, path, pattern, column, head) if head else pa.table({"piece": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
