@@ -95,13 +95,13 @@ def _encode_others(words: list[str], whole) -> Iterator[bytes]:
             yield np.array(e.ids, "<u4").tobytes()
 
 
-def encode(texts: list[str], path: str, end: int) -> list[bytes]:
+def encode(texts: list[str], path: str, end: int, remembered: int = REMEMBERED) -> list[bytes]:
     """Each text's ids and the end id, as little-endian 32-bit integers. No token spans a blank: words are encoded once.
 
     Of a word of Latin letters, its lower case and its stop are encoded, which many words share.
     """
     whole, plain, last, words = _encoder(path)
-    if len(words) > REMEMBERED:
+    if len(words) > remembered:
         words.forget()
     numbers = [list(map(words.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
     before = len(words.codes)
@@ -212,8 +212,12 @@ class Packer:
             self._sequence(pieces)
 
 
-def pack(documents: DataFrame, path: str, window: int = 2048, end: int = 1, id_column: str = "doc_id", column: str = "text", with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents in sequences of at most window ids: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, packed)."""
+def pack(documents: DataFrame, path: str, window: int = 2048, end: int = 1, id_column: str = "doc_id", column: str = "text", with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """Pieces of all documents in sequences of at most window ids: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, packed).
+
+    ``remembered`` trades a worker's memory (some 250 bytes a word) for time; ids don't depend on it.
+    """
+    common.small_batches(documents)
     kind = documents.schema[id_column].dataType.simpleString()
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +233,7 @@ def pack(documents: DataFrame, path: str, window: int = 2048, end: int = 1, id_c
 
         for batch in common.slices(batches, 4 << 20, column):
             keys = batch.column(id_column).type
-            coded = encode([t or "" for t in batch.column(column).to_pylist()], path, end)
+            coded = encode([t or "" for t in batch.column(column).to_pylist()], path, end, remembered)
             for key, ids in zip(batch.column(id_column).to_pylist(), coded, strict=True):
                 packer.add(key, ids)
             if packer.rows:

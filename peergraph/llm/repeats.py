@@ -43,7 +43,7 @@ from . import common
 
 GRAM = 48
 #: Bytes of text in a block, of text in a part of documents, of contexts in a suffix array.
-BLOCK, PART, ARRAY = 1 << 20, 12 << 20, 1 << 19
+BLOCK, PART, ARRAY = 1 << 20, 12 << 20, 1 << 18
 #: Rows that make an anchor hot, and how many a task must have of it to count them. What isn't counted is at most so many
 #: rows a task, so an anchor that isn't found has at most HOT + SEEN x tasks rows.
 HOT, SEEN = 1 << 15, 8
@@ -280,6 +280,7 @@ def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", c
 
     With as_text, ``kept`` is a string instead, without characters of which only a part remains.
     """
+    common.small_batches(documents)
     if not GRAM + 1 < length < 250:
         raise ValueError(f"length must be above {GRAM + 1} and below 250")
     added = ("kept", "n_bytes", "n_removed", "n_spans")
@@ -313,13 +314,13 @@ def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", c
             many = n >= SEEN
             yield pa.RecordBatch.from_arrays([pa.array(anchor[many].view(np.int64)), pa.array(n[many])], ["anchor", "n"])
 
-    # so few that all tasks can have them: each stands for at least 2**-16 of all segments
-    least = max(HOT, total // 25 >> 16)
+    # so few that all tasks can have them (8 MB): each stands for at least 2**-20 of all segments, of which a text has one in some 25 bytes
+    least = max(HOT, total // 25 >> 20)
     counted = source.select("key", "text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > least)
-    hot = np.sort(np.array([r.anchor for r in counted.select("anchor").collect()], np.int64).view(U))
+    hot = source.sparkSession.sparkContext.broadcast(np.sort(np.array([r.anchor for r in counted.select("anchor").collect()], np.int64).view(U)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, stay, later in blocks(batches, hot):
+        for cols, stay, later in blocks(batches, hot.value):
             rows = _deal(SEGMENT, {c: v[stay] for c, v in cols.items()}, (cols["anchor"][stay] % U(n_anchor)).astype(np.int32), SEGMENTS)
             spans = _cover(cols["key"][later], cols["lo"][later], cols["lo"][later] + cols["more"][later] + length)
             rows += [(p % n_anchor, k, b) for p, k, b in _deal(SPAN, spans, _of_key(spans["key"], n_key), SPANS)]
@@ -393,6 +394,8 @@ def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", c
             anchor, key, lo, content = zip(*rows, strict=True)
             head = np.array([len(rows)], "<i8").tobytes() + np.array(anchor, "<u8").tobytes() + np.array(key, "<i8").tobytes() + np.array(lo, "<u4").tobytes() + np.array([len(c) for c in content], "<u4").tobytes()
             found.append((part, CONTEXTS, zstandard.compress(head + b"".join(content), 3)))
+        del asked, bytes_of, parts
+        common.give_back()
         return _rows(found)
 
     def arrays(table: pa.Table) -> pa.Table:

@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,8 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 32, 5
 _FLIPS, _FACTORS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 _MIXER = np.uint64(0x9E3779B97F4A7C15)
+#: 64-bit words of a set's occupancy map: bit i is 1 if a shingle's hash ends in i. A bit that another set lacks is a shingle that it lacks.
+MAP = 8
 
 
 def _counts(hashes: list[int]) -> np.ndarray:
@@ -66,6 +68,7 @@ def _hashes(text: bytes, words: int, seed: int) -> Iterator[list[int]]:
 
 def fingerprints(documents: DataFrame, column: str = "text", words: int = 3, seed: int = 42, out: str = "fingerprint") -> DataFrame:
     """documents with ``out`` (long: the 64 bits) instead of the text."""
+    common.small_batches(documents)
     kept = [f for f in documents.schema.fields if f.name not in (column, out)]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +135,13 @@ def components(documents: DataFrame, id_column: str = "doc_id", column: str = "t
 
 
 def shingle_sets(documents: DataFrame, column: str = "text", words: int = 5, seed: int = 42, sets: bool = False, text: bool = False) -> DataFrame:
-    """documents with set_key (of the set of shingles), n_shingles and either band_keys or, with ``sets``, the hashes themselves.
+    """documents with set_key (of the set of shingles), n_shingles and either band_keys or, with ``sets``, the hashes themselves and their occupancy map.
 
     The text goes unless ``text``. Two texts of the same set have the same key; the set of an empty text has 0 shingles and no bands.
     """
+    common.small_batches(documents)
     made = [T.StructField("set_key", T.LongType()), T.StructField("n_shingles", T.IntegerType()), T.StructField("shingles" if sets else "band_keys", T.ArrayType(T.LongType()))]
+    made += [T.StructField("occupied", T.ArrayType(T.LongType()))] if sets else []
     kept = [f for f in documents.schema.fields if (text or f.name != column) and f.name not in [m.name for m in made]]
     read = [f.name for f in kept] + ([] if text else [column])
 
@@ -153,6 +158,8 @@ def shingle_sets(documents: DataFrame, column: str = "text", words: int = 5, see
             ends = np.concatenate([[0], np.cumsum([len(s) for s in lists])])
             values = np.concatenate(lists).astype(np.uint64).view(np.int64)
             columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))]
+            if sets:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * MAP, pa.int32()), pa.array(_occupied(found, sizes).ravel())))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *columns], [*[f.name for f in kept], *[m.name for m in made]])
 
     return documents.select(*[F.col(f"`{name}`") for name in read]).mapInArrow(go, T.StructType([*kept, *made]))
@@ -164,6 +171,13 @@ def xxh64(data: bytes) -> int:
     return xxh64_intdigest(data)
 
 
+def _occupied(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Each set's occupancy map, MAP numbers."""
+    bits = np.zeros((len(sets), MAP * 64), np.uint8)
+    bits[np.repeat(np.arange(len(sets)), sizes), (np.concatenate(sets) % np.uint64(MAP * 64)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+
 def _bands(sets: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
     """Keys of the BANDS bands of ROWS minima of each set."""
     out = [np.empty(0, np.uint64)] * len(sets)
@@ -190,10 +204,16 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of[0], "a").join(of[1], "b").where(both * SIMILAR[1] >= (n_a + n_b - both) * SIMILAR[0]).select("a", "b")
 
 
-def _may_be_alike(n_a: str, shared_a: str, n_b: str, shared_b: str):
-    """Whether sets of n shingles each, of which only ``shared`` occur in other sets too, can be near copies."""
-    both = F.least(shared_a, shared_b)
-    return both * SIMILAR[1] >= (F.col(n_a) + F.col(n_b) - both) * SIMILAR[0]
+def _may_be_alike(n_a: str, shared_a: str | Column, n_b: str, shared_b: str | Column) -> Column:
+    """Whether sets of n shingles each, of which at most ``shared`` are in the other, can be near copies."""
+    # what both have stands here once: an expression that stood twice would be computed before cheaper conditions are looked at
+    return F.least(shared_a, shared_b) * sum(SIMILAR) >= (F.col(n_a) + F.col(n_b)) * SIMILAR[0]
+
+
+def _lacking(map_a: str, map_b: str) -> Column:
+    """So many shingles of a are not in b, at least."""
+    each = F.zip_with(map_a, map_b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.aggregate(each, F.lit(0), lambda n, x: n + x)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -215,7 +235,7 @@ def near_components(documents: DataFrame, prints: DataFrame, id_column: str, col
     ids = prints.join(wanted.select("set_key").distinct(), "set_key", "left_semi").groupBy("set_key").agg(F.min(id_column).alias(id_column))
     thin = documents.select(id_column, column)
     texts = thin.join(ids.select(id_column).distinct(), id_column, "left_semi").unionByName(thin.where(F.col(id_column).isNull()))
-    sets = common.cut(shingle_sets(texts, column, words, sets=True).select("set_key", "n_shingles", "shingles").dropDuplicates(["set_key"]))
+    sets = common.cut(shingle_sets(texts, column, words, sets=True).select("set_key", "n_shingles", "shingles", "occupied").dropDuplicates(["set_key"]))
 
     # a set's shingles that others have too, rarest first; those that no other has bound its similarity to any
     each = sets.select("set_key", F.col("n_shingles").alias("n"), F.explode("shingles").alias("s"))
@@ -233,13 +253,18 @@ def near_components(documents: DataFrame, prints: DataFrame, id_column: str, col
     roots = common.cut(connected_components(links).select(F.col("node").alias("set_key"), "root"))
     placed = members.select("band", "set_key", "n", "shared", "centre").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     centre_roots = placed.where("set_key = centre").select("band", F.col("root").alias("centre_root"))
-    strays = placed.join(centre_roots, "band").where("root <> centre_root").select("set_key", F.lit(True).alias("stray")).distinct()
+    apart = common.cut(placed.join(centre_roots, "band").where("root <> centre_root").select("band", "set_key"))
+    strays = apart.select("set_key", F.lit(True).alias("stray")).distinct()
+    # only sets of buckets that hold several components are left to compare
+    open_sets = placed.join(apart.select("band").distinct(), "band", "left_semi").select("set_key", "root").distinct().join(sets.select("set_key", "occupied"), "set_key")
     # near copies share one of their n / 5 + 1 rarest shingles; what follows the first shared one bounds what both have
     rarest = F.slice("rare", 1, F.greatest(F.floor(F.col("n") / 5).cast("int") + 1 - F.col("n") + F.size("rare"), F.lit(0)))
-    prefixes = ranked.join(placed.select("set_key", "root").distinct(), "set_key").select("set_key", "n", "root", F.size("rare").alias("shared"), F.posexplode(rarest).alias("at", "s"))
-    prefixes = common.cut(prefixes.join(strays, "set_key", "left").select("set_key", "n", "root", F.coalesce("stray", F.lit(False)).alias("stray"), (F.col("shared") - F.col("at")).alias("left"), "s"))
-    a, b = (of.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("set_key", "n", "root", "left", "stray")]) for k, of in (("a", prefixes.where("stray")), ("b", prefixes)))
-    across = a.join(b, "s").where((~F.col("stray_b") | (F.col("set_key_a") < F.col("set_key_b"))) & (F.col("root_a") != F.col("root_b")) & _may_be_alike("n_a", "left_a", "n_b", "left_b"))
+    prefixes = ranked.join(open_sets, "set_key").select("set_key", "n", "root", "occupied", F.size("rare").alias("shared"), F.posexplode(rarest).alias("at", "s"))
+    prefixes = common.cut(prefixes.join(strays, "set_key", "left").select("set_key", "n", "root", "occupied", F.coalesce("stray", F.lit(False)).alias("stray"), (F.col("shared") - F.col("at")).alias("left"), "s"))
+    a, b = (of.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("set_key", "n", "root", "occupied", "left", "stray")]) for k, of in (("a", prefixes.where("stray")), ("b", prefixes)))
+    # the first bound is cheap and rules most pairs out before the second is looked at
+    near = _may_be_alike("n_a", "left_a", "n_b", "left_b") & _may_be_alike("n_a", F.col("n_a") - _lacking("occupied_a", "occupied_b"), "n_b", F.col("n_b") - _lacking("occupied_b", "occupied_a"))
+    across = a.join(b, "s").where((~F.col("stray_b") | (F.col("set_key_a") < F.col("set_key_b"))) & (F.col("root_a") != F.col("root_b")) & near)
     more = common.cut(_alike(_ordered(across.select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b"))), sets))
     return connected_components(links.unionByName(more)).select(F.col("node").alias("set_key"), "root") if more.limit(1).count() else roots
 
