@@ -19,7 +19,7 @@ from . import metrics as M
 
 # Kinds in the order in which they run.
 KINDS = (
-    "SpansArchitecturalLayers", "ConcealedDecisionMethod", "ConcealedDecisionType", "BugBlastRadius", "ChangeCost", "LoadBearingAndIntricate", "BreaksAlone",
+    "SpansArchitecturalLayers", "ConcealedDecisionMethod", "ConcealedDecisionType", "BugBlastRadius", "ChangeCost", "ReliedOnAndIntricate", "BreaksAlone",
     "HubOrGodObject", "SharedMutableState", "BoundaryCarriesLogic", "WidestContractSurface", "NoStaticReferences", "Coverage",
 )
 SIGNIFICANT = ("ApiBoundary", "DataAccess", "ExternalCall")
@@ -134,7 +134,7 @@ def change_cost(types: DataFrame, p: Policy) -> Nomination:
     )
 
 
-def load_bearing(types: DataFrame, p: Policy) -> Nomination:
+def relied_on(types: DataFrame, p: Policy) -> Nomination:
     found = types.where((F.col("instability") <= p.stable_threshold) & (F.col("fan_in") >= p.min_fan_in) & (F.col("max_cc") >= p.high_cc))
     return _nominate(
         KINDS[5], found, "type_id", [F.col("instability"), -F.col("fan_in")],

@@ -77,7 +77,7 @@ class Model:
             "ConcealedDecisionMethod": lambda: N.concealed_method(t, self.members, p),
             "NoStaticReferences": lambda: N.no_references(self.considered, t, p),
         }
-        by_type = (N.concealed_type, N.blast_radius, N.change_cost, N.load_bearing, N.breaks_alone, N.hub, N.shared_state, N.boundary_logic, N.widest_surface, N.no_peer_group)
+        by_type = (N.concealed_type, N.blast_radius, N.change_cost, N.relied_on, N.breaks_alone, N.hub, N.shared_state, N.boundary_logic, N.widest_surface, N.no_peer_group)
         rest = [k for k in N.KINDS if k not in makers]
         return makers[kind]() if kind in makers else by_type[rest.index(kind)](t, p)
 
@@ -102,7 +102,7 @@ class Model:
         """(kind, subject, participant): who a finding is about besides its subject."""
         pairs = self.edges.select(F.col("to_type").alias("subject"), F.col("from_type").alias("participant"))
         callers = self.detected.where(F.col("kind").isin("BugBlastRadius", "ChangeCost")).select("kind", "subject").join(pairs, "subject")
-        worst_of = ("ConcealedDecisionType", "LoadBearingAndIntricate", "BreaksAlone", "HubOrGodObject", "BoundaryCarriesLogic", "Coverage")
+        worst_of = ("ConcealedDecisionType", "ReliedOnAndIntricate", "BreaksAlone", "HubOrGodObject", "BoundaryCarriesLogic", "Coverage")
         worst = self.detected.where(F.col("kind").isin(*worst_of)).select("kind", "subject").join(self.full.select(F.col("type_id").alias("subject"), F.col("most_complex_member").alias("participant")), "subject").where("participant is not null")
         writers = self.members.where("static_mutations > 0").select(F.col("type_id").alias("subject"), F.col("member_id").alias("participant"))
         state = self.detected.where("kind = 'SharedMutableState'").select("kind", "subject").join(writers, "subject")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +27,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def model(spark: SparkSession, sf_dir: str) -> Model:
+@lru_cache(maxsize=1)
+def _model(app: str, sf_dir: str, files: tuple, spark: SparkSession) -> Model:
     return Model(star.facts(spark, sf_dir))
 
 
+def model(spark: SparkSession, sf_dir: str) -> Model:
+    """The analysis of sf_dir's tables. Queries that follow each other on the same files in one session share it, and so its checkpointed tables."""
+    return _model(spark.sparkContext.applicationId, sf_dir, star.files(spark, sf_dir), spark)
+
+
 def add(name: str, of: Callable[[Model], DataFrame], select: str | None = None) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return of(model(spark, sf_dir))
@@ -161,7 +168,7 @@ add("a17_project_links", lambda m: P.project_links(m.project_cycles.select(F.exp
 # detectors: subject, receipts and qualifiers
 DETECTORS = {
     "d01_spans_layers": "SpansArchitecturalLayers", "d02_concealed_method": "ConcealedDecisionMethod", "d03_concealed_type": "ConcealedDecisionType", "d04_blast_radius": "BugBlastRadius", "d05_change_cost": "ChangeCost",
-    "d06_load_bearing": "LoadBearingAndIntricate", "d07_breaks_alone": "BreaksAlone", "d08_hub": "HubOrGodObject", "d09_shared_state": "SharedMutableState", "d10_boundary_logic": "BoundaryCarriesLogic",
+    "d06_relied_on": "ReliedOnAndIntricate", "d07_breaks_alone": "BreaksAlone", "d08_hub": "HubOrGodObject", "d09_shared_state": "SharedMutableState", "d10_boundary_logic": "BoundaryCarriesLogic",
     "d11_widest_surface": "WidestContractSurface", "d12_no_references": "NoStaticReferences", "d13_no_peer_group": "Coverage",
 }
 
@@ -220,4 +227,4 @@ add("k01_types_table", lambda m: sinks.types_table(m.full).select("Id", "Kind",
 add("k02_members_table", lambda m: sinks.members_table(m.members), "SELECT member_id AS Id, name AS Name, name AS Signature, kind AS Kind, accessibility AS Accessibility, type_id AS DeclaringType, project AS Project, cyclomatic AS Cyclomatic, dsm AS Dsm, transform AS Transform, static_mutations AS StaticMutations, max_nesting AS MaxNestingDepth, parameter_count AS ParameterCount, lines_of_code AS LinesOfCode, CASE WHEN file <> '' AND line > 0 THEN file END AS File, CASE WHEN file <> '' AND line > 0 THEN line END AS Line FROM members")
 add("k03_edges_table", lambda m: sinks.edges_table(m.all_edges), "SELECT from_type AS \"From\", to_type AS \"To\", weight AS Weight, array_to_string(list_transform(kinds, lambda k: ['Other', 'Inheritance', 'InterfaceImplementation', 'Field', 'Parameter', 'ReturnType', 'Construction', 'Invocation', 'GenericArgument', 'Attribute'][k + 1]), ';') AS Kinds, file AS File, line AS Line FROM all_edges")
 add("k05_json_lines", lambda m: sinks.json_lines(m.full, m.members, m.all_edges))
-add("policy_values", lambda m: m.types.sparkSession.createDataFrame([(n, float(v)) for n, v in Policy().values()], "name string, value double"))
+add("policy_values", lambda m: m.types.sparkSession.createDataFrame([(n, float(v)) for n, v in Policy().values()], "name string, value double"), "SELECT name, CAST(value AS DOUBLE) AS value FROM (VALUES ('min_cohort', 5), ('cohort_basis_floor', 5), ('outlier_factor', 3), ('min_fan_in', 5), ('top', 15), ('high_cc', 10), ('min_decision_cc', 5), ('concealed_top_rank', 3), ('boundary_top_fraction', 0.05), ('hub_min', 5), ('god_object_members', 20), ('min_kind_span', 3), ('stable_threshold', 0.2), ('isolated_threshold', 0.8), ('breaks_alone_min_fan_in', 1), ('concealed_fan_in_ceiling', 2), ('concealed_fan_out_ceiling', 2), ('blast_fan_in_multiple', 2), ('blast_top_fraction', 0.05), ('blast_complexity_percentile', 70), ('change_cost_top_fraction', 0.05), ('roll_call_divisor', 3), ('surface_outlier_multiple', 1.5), ('surface_outlier_floor', 1), ('max_named_surfaces', 5), ('global_fan_in_percentile', 90), ('global_complexity_percentile', 90), ('global_complexity_floor', 1), ('min_tangle', 4)) x(name, value)")

@@ -33,7 +33,7 @@ CLAIMS: dict[str, Callable[[dict, set], str]] = {
     "ConcealedDecisionType": lambda r, q: ("looks unimportant, yet is " if "low_absolute_connectivity" in q else "is as connected as its peers, yet ") + (f"{number(r['MaxMemberCyclomaticXMedian'])} times as complex as their median" if r["MaxMemberCyclomaticXMedian"] is not None else "the only complex one among them"),
     "BugBlastRadius": lambda r, q: f"{plural(r['FanIn'], 'caller')}, complexity {number(r['Cyclomatic'])}: a bug here reaches far",
     "ChangeCost": lambda r, q: f"{plural(r['FanIn'], 'caller')} of a contract of {plural(r['DataShape'], 'field')}: a change here is a change there; callers outside aren't seen",
-    "LoadBearingAndIntricate": lambda r, q: f"{plural(r['FanIn'], 'type')} rest on it, it rests on {plural(r['EffectiveFanOut'], 'concrete type')}, and a member has complexity {number(r['MaxMemberCyclomatic'])}",
+    "ReliedOnAndIntricate": lambda r, q: f"{plural(r['FanIn'], 'type')} rest on it, it rests on {plural(r['EffectiveFanOut'], 'concrete type')}, and a member has complexity {number(r['MaxMemberCyclomatic'])}",
     "BreaksAlone": lambda r, q: f"complexity {number(r['MaxMemberCyclomatic'])}, but only {plural(r['FanIn'], 'type')} would notice if it broke",
     "HubOrGodObject": lambda r, q: f"{number(r['FanIn'])} in, {number(r['FanOut'])} out" + (", and carries logic" if "carries_real_logic" in q else ", mostly wiring") + (", too large to hold in mind" if "too_large_to_hold" in q else ""),
     "SharedMutableState": lambda r, q: f"{plural(r['StaticMutations'], 'write')} to static state, {plural(r['FanIn'], 'type')} can reach it",

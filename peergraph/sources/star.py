@@ -81,6 +81,16 @@ FACTS = {"parts": PARTS, "lines": LINES, "followed": FOLLOWED, "types": TYPES, "
 LISTS = ("attributes", "bases", "interfaces", "external")
 
 
+def files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, length and time of each file that the facts are made of: what has changed is read again."""
+    jvm, found = spark.sparkContext._jvm, []
+    for table in ("part", "lineitem"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        for f in path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path):
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(found)
+
+
 def facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The fact tables of a star schema in sf_dir; lists are arrays."""
     found = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem")}
