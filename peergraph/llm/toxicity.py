@@ -2,7 +2,7 @@
 
 Examples are a bounded sample of labelled documents (``PER_CLASS`` of each class). The vocabulary is all words and stems of
 words (``STEMS`` letters: a stem may take any ending) that tell the examples' classes apart (in 5 examples or more,
-chi-square above 15, counted once a document), however many these are; the cosine is exact over this vocabulary, and a text
+chi-square above 15, counted once a document, and ``RATIO`` times as frequent in one class as in the other), however many these are; the cosine is exact over this vocabulary, and a text
 without any of it has no neighbours (README has the effect of this choice). Weights are TF-IDF with document frequencies
 over all documents; vectors have length 1. The examples' vectors are posting lists by term; a list is cut into blocks of
 examples and keeps the greatest weight of each. A document's nearest examples are found exactly: the blocks of highest
@@ -34,6 +34,8 @@ from . import common, labelled
 
 #: Most examples of a class; examples in a block; blocks of a first answer; nearest examples that vote; words whose terms a worker remembers.
 PER_CLASS, BLOCK, FIRST, NEAREST, REMEMBERED = 3000, 64, 4, 15, 1 << 17
+#: How much more frequent a telling feature is in one class: with enough examples, chi-square alone lets very weak ones pass.
+RATIO = 2
 #: Letters of a beginning; a longer word has one of each length.
 STEMS = (3, 4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
@@ -84,7 +86,8 @@ def choose_terms(texts: list[str], label: np.ndarray) -> list[str]:
             continue
         n, both = n1 + n0, a + b
         chi = n * (a * n0 - b * n1) ** 2 / (both * max(n - both, 1) * n1 * n0)
-        if chi > 15:
+        shares = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
+        if chi > 15 and max(shares) >= RATIO * min(shares):
             found.append((-chi, f))
     return [f for _, f in sorted(found)]
 
