@@ -215,7 +215,7 @@ def frequent(documents: DataFrame, path: str, pattern: str, column: str = "text"
         def out() -> pa.RecordBatch:
             seen: Counter[str] = Counter()
             for word, n in words.items():
-                for piece in find(" " + word):
+                for piece in (" " + word,) if word.isalpha() else find(" " + word):
                     seen[piece] += n
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
@@ -227,7 +227,7 @@ def frequent(documents: DataFrame, path: str, pattern: str, column: str = "text"
                 yield out()
         yield out()
 
-    counted = common.cut(documents.select(column).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")))
+    counted = common.cut(documents.select(column).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1"))
     bucket = F.floor(F.log2("n") * 32)  # 32 a doubling: small counts each have their own
     left, least, share = most, 0, 1.0
     for r in sorted(counted.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("pieces")).collect(), key=lambda r: -r.bucket):
@@ -249,7 +249,6 @@ def encode(documents: DataFrame, path: str, pattern: str, column: str = "text",
 
     With ``decoded``, a column of that name has the bytes that ``decode`` makes of the ids, made in the same stage.
     """
-    common.small_batches(documents)
     spark = documents.sparkSession
     kept = [f for f in documents.schema.fields if f.name not in (column, out, decoded)]
     ahead = frequent(documents, path, pattern, column, head) if head else pa.table({"piece": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
