@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Remainders that wait at once, and distinct words at which a worker forgets the half that it met least.
-POOL, REMEMBERED = 4096, 5 << 17
+POOL, REMEMBERED = 4096, 3 << 19
 #: Words in a text that is encoded at once.
 AT_ONCE = 256
 #: A line is Latin letters that stay single letters in lower case, with or without a stop, which is a token of its own; or anything else.
@@ -57,6 +57,7 @@ class Words(dict):
 
     def forget(self) -> None:
         """Keeps the half that was met most, numbered anew; what it counted so far counts half."""
+        self.count([])
         stay = np.sort(np.argsort(-self.uses, kind="stable")[: len(self) // 2])
         names = list(self)
         names, self.codes = [names[i] for i in stay.tolist()], [self.codes[i] for i in stay.tolist()]
@@ -119,7 +120,8 @@ def encode(texts: list[str], path: str, end: int, remembered: int = REMEMBERED)
         made.update(zip(new, coded(new), strict=True))
     words.codes += [made[a] + made[stop] if a else made[odd] for a, (_, stop, odd) in zip(small, lines, strict=False)]
     words.fresh.clear()
-    words.count(numbers)
+    if len(words) > remembered // 2:
+        words.count(numbers)
     close = np.array([end], "<u4").tobytes()
     return [b"".join(map(words.codes.__getitem__, n)) + close for n in numbers]
 
