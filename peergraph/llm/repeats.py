@@ -43,7 +43,7 @@ from . import common
 
 GRAM = 48
 #: Bytes of text in a block, of text in a part of documents, of contexts in a suffix array.
-BLOCK, PART, ARRAY = 1 << 20, 12 << 20, 1 << 18
+BLOCK, PART, ARRAY = 1 << 20, 12 << 20, 1 << 19
 #: Rows that make an anchor hot, and how many a task must have of it to count them. What isn't counted is at most so many
 #: rows a task, so an anchor that isn't found has at most HOT + SEEN x tasks rows.
 HOT, SEEN = 1 << 15, 8
@@ -275,12 +275,12 @@ def keyed(documents: DataFrame, id_column: str, column: str, others: list[str])
     return rows.alias("r").join(numbered, same).select("n.key", "r.text", "r.row")
 
 
-def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", column: str = "text", as_text: bool = False) -> DataFrame:
+def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", column: str = "text", as_text: bool = False, array: int = ARRAY) -> DataFrame:
     """documents with the text's remaining bytes (``kept`` binary) instead of the text, n_bytes, n_removed and n_spans.
 
-    With as_text, ``kept`` is a string instead, without characters of which only a part remains.
+    With as_text, ``kept`` is a string instead, without characters of which only a part remains. ``array``: bytes of contexts
+    in a suffix array, which takes some 100 times as many bytes of memory while it is made.
     """
-    common.small_batches(documents)
     if not GRAM + 1 < length < 250:
         raise ValueError(f"length must be above {GRAM + 1} and below 250")
     added = ("kept", "n_bytes", "n_removed", "n_spans")
@@ -416,7 +416,7 @@ def remove(documents: DataFrame, length: int = 100, id_column: str = "doc_id", c
         for i, row in enumerate(rows):
             held += len(row[3])
             last = i + 1 == len(rows)
-            if last or held > ARRAY and rows[i + 1][0] != row[0]:
+            if last or held > array and rows[i + 1][0] != row[0]:
                 part = rows[begin : i + 1]
                 found.append(_repeats([r[3] for r in part], np.array([r[1] for r in part]), np.array([r[2] for r in part]), length))
                 begin, held = i + 1, 0
