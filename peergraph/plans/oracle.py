@@ -188,4 +188,4 @@ def sql(select: str) -> str:
     # what is read more than once is computed once, whatever the optimizer thinks; a table that reads itself can't be asked to
     kept = {name: "" if re.search(rf"\b(FROM|JOIN) {name}\b", text) else "MATERIALIZED " for name, text in TABLES}
     named = ",\n".join(f"{name} AS {kept[name]}({text})" for name, text in TABLES if name in found)
-    return f"WITH RECURSIVE {named}\n{select}"
+    return f"WITH RECURSIVE {named}\n{select}" if named else select
