@@ -66,12 +66,17 @@ def medians(values: DataFrame, population: list[str], value: str) -> DataFrame:
 
 
 def read_outside(asked: DataFrame, values: DataFrame, population: list[str], value: str, x: str) -> DataFrame:
-    """asked (population, x) with the percentile and rank that x would have among values, of which it need not be one."""
-    bars = histogram(values, population, value)
-    joined = asked.join(bars, population)
-    n, below = F.sum("equal"), F.sum(F.when(F.col(value) < F.col(x), F.col("equal")).otherwise(0))
-    same = F.sum(F.when(F.col(value) == F.col(x), F.col("equal")).otherwise(0))
-    counted = joined.groupBy(*population, x).agg(n.alias("n"), below.alias("below"), same.alias("equal"))
+    """asked (population, x) with the percentile and rank that x would have among values, of which it need not be one.
+
+    Asked values are points of the histogram without rows of their own, so one running sum answers them all. Nulls and
+    populations without values get no row.
+    """
+    bars = histogram(values, population, value).select(*population, F.col(value).cast("double").alias(x), "equal", F.lit(False).alias("asked"))
+    points = bars.unionByName(asked.select(*population, F.col(x).cast("double").alias(x), F.lit(0).cast("long").alias("equal"), F.lit(True).alias("asked")))
+    merged = points.where(F.col(x).isNotNull()).groupBy(*population, x).agg(F.sum("equal").alias("equal"), F.max("asked").alias("asked"))
+    whole = W.partitionBy(*population)
+    before = whole.orderBy(x).rowsBetween(W.unboundedPreceding, -1)
+    counted = merged.withColumns({"n": F.sum("equal").over(whole), "below": F.coalesce(F.sum("equal").over(before), F.lit(0))}).where("asked and n > 0")
     above = F.col("n") - F.col("below") - F.col("equal")
     return counted.select(*population, x, "n", percentile(F.col("below"), F.col("equal"), F.col("n")).alias("percentile"), rank(above, F.col("equal")).alias("rank"))
 

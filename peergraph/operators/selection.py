@@ -60,7 +60,7 @@ def flagged_projects(types: DataFrame, named: DataFrame) -> DataFrame:
 def _with_totals(by_project: DataFrame) -> DataFrame:
     totals = by_project.agg(F.sum("types").alias("all_types"), F.sum("named").alias("all_named"))
     one = F.lit(1).alias("one")
-    return by_project.select("*", one).join(totals.select("*", one), "one").drop("one")
+    return by_project.select("*", one).join(F.broadcast(totals.select("*", one)), "one").drop("one")  # an aggregate: one row
 
 
 def concentration(by_project: DataFrame) -> DataFrame:

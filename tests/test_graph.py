@@ -81,9 +81,21 @@ def test_a_cycle_is_one_box(spark):
     assert boxes == {("a", "b", "c"): (["core"], 1, True), ("core",): ([], 0, False)}
 
 
-def test_the_guard_names_the_component(spark):
-    with pytest.raises(ValueError, match="has 3 edges"):
-        G.strongly_connected(edges(spark, "a>b b>c c>a"), 2, most_edges=2)
+@pytest.mark.parametrize("seed", [1])
+def test_large_components_are_searched_by_joins(spark, seed):
+    rng = np.random.default_rng(seed)
+    pairs = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 14, (22, 2)).tolist()] + [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)]
+    e = spark.createDataFrame([*pairs, ("r3", "n1"), ("r1", None)], "a string, b string")
+    want = sorted(map(tuple, G.cycles(e, "type").collect()))
+    assert len(want) > 1
+    assert sorted(map(tuple, G.cycles(e, "type", most_edges=0).collect())) == want
+    assert sorted(map(tuple, G.cycles(e, "type", most_edges=8).collect())) == want
+    assert groups(G.strongly_connected(e, 1, most_edges=0)) == groups(G.strongly_connected(e, 1))
+
+
+def test_the_edge_bound_of_empty_tables(spark):
+    assert G.cycles(edges(spark, "a>b").limit(0), "type", most_edges=0).count() == 0
+    assert G.strongly_connected(edges(spark, "a>b b>c"), 2, most_edges=0).count() == 0
 
 
 def test_connected_components(spark):
