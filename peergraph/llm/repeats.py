@@ -269,8 +269,8 @@ def keyed(documents: DataFrame, id_column: str, column: str, others: list[str])
     odd = not whole or counted.where("n > 1 or id is null").limit(1).count()
     if not odd:
         return rows.select(F.col("id").cast("long").alias("key"), "text", "row")
-    names = common.cut(rows.select("id", F.xxhash64("text").alias("h")).distinct().orderBy(F.col("id").asc_nulls_first(), "h"))
-    numbered = names.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF(names.schema.simpleString()[7:-1].replace(":", " ") + ", key long").alias("n")
+    ordered = rows.select("id", F.xxhash64("text").alias("h")).distinct().orderBy(F.col("id").asc_nulls_first(), "h")
+    numbered = common.cut(ordered.withColumn("key", F.monotonically_increasing_id())).alias("n")  # ascends with the sorted parts
     same = F.col("r.id").eqNullSafe(F.col("n.id")) & (F.xxhash64("r.text") == F.col("n.h"))
     return rows.alias("r").join(numbered, same).select("n.key", "r.text", "r.row")
 
