@@ -161,3 +161,34 @@ def test_pipeline_runs(spark):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    text, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(40_000))
+    rows = [(1, text), (1, text), (None, text + " end"), (2, None), (3, ""), (None, "token = abcdefgh12345"), (4, "token = abcdefgh12345 once more"), (4, "another text of this id"), (5, other)]
+    names = ("score", "kept", "own", "text_hash", "root", "key", "label", "row", "links", "n_bytes")
+    schema = "doc_id long, text string, lang string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(i, t, None, len(t or ""), *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(rows)], schema)
+    labels = spark.createDataFrame([(1, None, 0), (1, 1, 0), (None, 0, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
+    for name, (d, made) in {"odd": (docs, labels), "empty": (docs.limit(0), labels.limit(0))}.items():
+        folder = str(tmp_path / name)
+        d.write.parquet(f"{folder}/documents.parquet")
+        made.write.parquet(f"{folder}/labels.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, folder).checkpoint()
+            assert now.dtypes == docs.dtypes
+        found = {(r.doc_id, r.text or ""): r for r in now.collect()}
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, folder).collect()
+        if name == "empty":
+            assert not found and not packed
+            continue
+        assert set(found) == {(1, text), (2, ""), (None, "[SECRET]"), (4, "[SECRET] once more"), (4, "another text of this id"), (5, other)}
+        for r in found.values():
+            assert len({r[n].removeprefix(n) for n in names}) == 1
+            assert r.n_chars == (None if r.text is None else len(r.text))
+        assert sorted((r.doc_id, r.length) for r in packed if r.doc_id == 2) == [(2, 1)]
+        assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0)
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
