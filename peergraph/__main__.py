@@ -1,6 +1,7 @@
-"""Command line: python -m peergraph FACTS [--csv DIR] [--json DIR] [--html FILE] [--profile] and a flag for each policy value.
+"""Command line: python -m peergraph FACTS [options] and a flag for each policy value.
 
-FACTS is a folder of Parquet facts, or with --star a folder of star-schema tables. Exit codes: 0 done, 1 facts can't be
+Test projects and files of the default path patterns are left out unless --include-tests and --no-default-excludes say
+otherwise; --exclude-path adds a pattern. FACTS is a folder of Parquet facts, or with --star a folder of star-schema tables. Exit codes: 0 done, 1 facts can't be
 read, 2 wrong usage.
 """
 
@@ -14,6 +15,8 @@ from pathlib import Path
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
+from . import __version__
+from .functions.scalars import EXCLUDED_PATHS
 from .plans import report, sinks
 from .plans.model import Model
 from .policy import Policy
@@ -24,9 +27,12 @@ def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="peergraph", description=__doc__)
     parser.add_argument("facts")
     parser.add_argument("--star", action="store_true")
-    for name in ("--csv", "--json", "--html"):
+    for name in ("--csv", "--json", "--html", "--diagram", "--mosaic", "--plot"):
         parser.add_argument(name)
-    parser.add_argument("--profile", action="store_true")
+    for name in ("--profile", "--full", "--include-tests", "--no-default-excludes"):
+        parser.add_argument(name, action="store_true")
+    parser.add_argument("--exclude-path", action="append", default=[])
+    parser.add_argument("--version", action="version", version=f"peergraph {__version__}")
     for f in fields(Policy):
         parser.add_argument(Policy.flag_for(f.name), dest=f.name, type=type(f.default), default=f.default)
     given = parser.parse_args(arguments)
@@ -41,7 +47,8 @@ def main(arguments: list[str] | None = None) -> int:
     except (files.FactsError, AnalysisException) as e:
         print(f"the facts can't be read: {str(e).splitlines()[0]}", file=sys.stderr)
         return 1
-    model = Model(facts, policy)
+    patterns = (() if given.no_default_excludes else EXCLUDED_PATHS) + tuple(given.exclude_path)
+    model = Model(files.narrow(facts, given.include_tests, patterns), policy)
     print(report.text(model, profile=profile))
     with profile.stage("exports"):
         if given.csv:
@@ -49,9 +56,14 @@ def main(arguments: list[str] | None = None) -> int:
             sinks.write_csv(sinks.members_table(model.members), f"{given.csv}/members", "DeclaringType", "Id")
             sinks.write_csv(sinks.edges_table(model.all_edges), f"{given.csv}/edges", "From", "To")
         if given.json:
-            sinks.json_lines(model.full, model.members, model.all_edges).orderBy("block", "id").select("json").write.mode("overwrite").text(given.json)
+            sinks.document(model).orderBy("block", "id").select("json").write.mode("overwrite").text(given.json)
         if given.html:
-            Path(given.html).write_text(report.html(model), encoding="utf-8")
+            Path(given.html).write_text(report.html(model, full=given.full), encoding="utf-8")
+        wanted = {"map": given.diagram, "mosaic": given.mosaic, "plot": given.plot}
+        for name, svg in (report.drawings(model) if any(wanted.values()) else {}).items():
+            path = wanted[name.partition("-")[0]]
+            if path:
+                Path(path).write_text(svg, encoding="utf-8")
     if given.profile:
         print("\n".join(f"{s:8.2f} s  {n}" for n, s in profile.rows()), file=sys.stderr)
     return 0

@@ -81,13 +81,19 @@ def held_pairs(held: DataFrame) -> DataFrame:
     return found.select(F.col("x.a").alias("first"), F.col("x.b").alias("second"), F.col("x.held").alias("forward"), F.col("y.held").alias("back"), (~below).alias("siblings"))
 
 
+def pairs_within(found: DataFrame, held: DataFrame) -> DataFrame:
+    """Held pairs of which both ends are members of one cycle, with its ``id``."""
+    each = found.select("id", F.explode("members").alias("ns"))
+    ends = held_pairs(held).join(each.select("id", F.col("ns").alias("first")), "first").join(each.select(F.col("id").alias("same"), F.col("ns").alias("second")), "second")
+    return ends.where("id = same").drop("same")
+
+
 def cycle_shapes(found: DataFrame, types: DataFrame, held: DataFrame) -> DataFrame:
     """Namespace cycles with their projects, anchor, held pairs and shape."""
     each = found.select("id", F.explode("members").alias("ns"))
     of_ns = types.select(S.namespace_or_global(F.col("namespace")).alias("ns"), "project").distinct()
     spans = each.join(of_ns, "ns").groupBy("id").agg(F.array_sort(F.collect_set("project")).alias("projects"))
-    pairs = held_pairs(held).join(each.select("id", F.col("ns").alias("first")), "first").join(each.select(F.col("id").alias("same"), F.col("ns").alias("second")), "second").where("id = same")
-    counts = pairs.groupBy("id").agg(F.count("*").alias("mutual"), F.count_if("siblings").alias("siblings"))
+    counts = pairs_within(found, held).groupBy("id").agg(F.count("*").alias("mutual"), F.count_if("siblings").alias("siblings"))
     anchor = F.get(F.filter("members", lambda c: F.forall("members", lambda m: (m == c) | F.startswith(m, F.concat(c, F.lit("."))))), F.lit(0))
     joined = found.join(spans, "id", "left").join(counts, "id", "left").na.fill(0, ["mutual", "siblings"]).withColumn("anchor", anchor)
     shape = F.when(F.col("siblings") > 0, "Coupling").when((F.size("projects") == 1) & F.col("anchor").isNotNull(), "FolderLayout").when(F.col("mutual") == 0, "SharedTypes").otherwise("Coupling")
@@ -113,8 +119,8 @@ def heaviest_pairs(inner: DataFrame) -> DataFrame:
 
 
 def project_links(members: DataFrame, types: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b, weight, example_from, example_to): links between the projects of each cycle (columns node, component), with the heaviest edge of each."""
+    """(component, a, b, weight, example_from, example_to): links between the projects of each cycle (columns node, component), with the heaviest edge of each."""
     across = ends_by(edges, types, "project").where("a <> b")
     within = across.join(members.select(F.col("node").alias("a"), "component"), "a").join(members.select(F.col("node").alias("b"), F.col("component").alias("same")), "b").where("component = same")
-    grouped = within.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.min(F.struct((-F.col("weight")).alias("w"), "from_type", "to_type")).alias("e"))
-    return grouped.select("a", "b", "weight", F.col("e.from_type").alias("example_from"), F.col("e.to_type").alias("example_to"))
+    grouped = within.groupBy("component", "a", "b").agg(F.sum("weight").alias("weight"), F.min(F.struct((-F.col("weight")).alias("w"), "from_type", "to_type")).alias("e"))
+    return grouped.select("component", "a", "b", "weight", F.col("e.from_type").alias("example_from"), F.col("e.to_type").alias("example_to"))

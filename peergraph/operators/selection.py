@@ -7,6 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ORDER = ("o1", "o2", "o3", "subject")
+SPANS = "SpansArchitecturalLayers"
+# Kinds that a fixed count selects.
+FIXED_GATES = ("HubOrGodObject", "BreaksAlone")
 
 
 def top_by_kind(found: DataFrame, n: int) -> DataFrame:
@@ -111,3 +114,50 @@ def diagram_rows(layered: DataFrame, most: int = 5) -> DataFrame:
 def drill_down(found: DataFrame, types: DataFrame, n: int) -> DataFrame:
     """Types that a shown finding is about."""
     return types.join(top_by_kind(found, n).select("type_id"), "type_id", "left_semi")
+
+
+def fixed_gate_shares(found: DataFrame, types: DataFrame) -> DataFrame:
+    """(kind, found, types, percent) of the kinds whose gate is a fixed count and no share: the percentage is of this code alone."""
+    one = F.lit(1).alias("one")
+    counts = found.where(F.col("kind").isin(*FIXED_GATES)).groupBy("kind").agg(F.count("*").alias("found")).select("*", one)
+    joined = counts.join(F.broadcast(types.agg(F.count("*").alias("types")).select("*", one)), "one").drop("one")  # an aggregate: one row
+    return joined.withColumn("percent", 100.0 * F.col("found") / F.col("types"))
+
+
+def layering_patterns(found: DataFrame, participants: DataFrame, types: DataFrame, named: int = 4) -> DataFrame:
+    """(signature, types, names) of the types that span layers as many others do: by the kinds that they reach, with the first names."""
+    common = F.exists("qualifiers", lambda q: (q.name == "part_of_a_layering_pattern") & q.holds)
+    spanning = found.where((F.col("kind") == SPANS) & common).select("subject", "type_id")
+    kinds = participants.where(F.col("kind") == SPANS).select("subject", F.col("participant").alias("type_id")).join(types.select("type_id", F.col("kind").alias("reached")), "type_id")
+    signatures = kinds.join(spanning.select("subject"), "subject", "left_semi").groupBy("subject").agg(F.array_join(F.array_sort(F.collect_set("reached")), "+").alias("signature"))
+    rows = spanning.join(signatures, "subject", "left").na.fill("", ["signature"]).join(types.select("type_id", "name"), "type_id")
+    first = rows.withColumn("at", F.row_number().over(W.partitionBy("signature").orderBy("name", "type_id"))).where(F.col("at") <= named)
+    names = first.groupBy("signature").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+    return rows.groupBy("signature").agg(F.count("*").alias("types")).join(names, "signature")
+
+
+def without_peers(found: DataFrame) -> DataFrame:
+    """One row: types without a usable peer group, those extreme in the whole, and those that another finding is about all the same."""
+    lone = found.where("kind = 'Coverage'").select("subject", F.exists("qualifiers", lambda q: q.holds).alias("extreme"))
+    others = found.where("kind <> 'Coverage'").select("subject").distinct().withColumn("named", F.lit(True))
+    return lone.join(others, "subject", "left").agg(F.count("*").alias("types"), F.count_if("extreme").alias("extreme"), F.count("named").alias("also_named"))
+
+
+def named_ink(types: DataFrame, named: DataFrame) -> DataFrame:
+    """One row: types, how many of them a risk names, and the percent of all lines that these hold (which the mosaic's tint covers)."""
+    marked = types.select("type_id", "lines_of_code").join(named.withColumn("hit", F.lit(1)), "type_id", "left")
+    inked = F.sum(F.when(F.col("hit").isNotNull(), F.col("lines_of_code")).otherwise(0))
+    return marked.agg(F.count("*").alias("types"), F.count("hit").alias("named"), F.try_divide(100.0 * inked, F.sum("lines_of_code").cast("double")).alias("ink_percent"))
+
+
+def line_shares(types: DataFrame) -> DataFrame:
+    """(type_id, project, percent): each type's share of its project's lines, null where the project has none."""
+    whole = types.groupBy("project").agg(F.sum("lines_of_code").alias("project_lines"))
+    share = F.try_divide(100.0 * F.col("lines_of_code"), F.col("project_lines").cast("double"))
+    return types.select("type_id", "project", "lines_of_code").join(whole, "project").select("type_id", "project", share.alias("percent"))
+
+
+def depth_and_width(groups: DataFrame) -> DataFrame:
+    """One row: how many layers, the highest layer, and the boxes of the widest one."""
+    boxes = groups.groupBy("layer").agg(F.count("*").alias("boxes"))
+    return boxes.agg((F.max("layer") + 1).alias("depth"), F.max("layer").alias("top_layer"), F.max("boxes").alias("widest_layer"))

@@ -25,7 +25,7 @@ GLOBAL_METRICS = ("fan_in", "max_cc")
 
 
 class Model:
-    """Facts in (projects, types, members, type_refs, member_refs), every later table as an attribute.
+    """Facts in (projects, types, members, type_refs, member_refs, and where known left_out), every later table as an attribute.
 
     Tables that several others read are cut (checkpointed), so each is computed once and survives lost executors.
     """
@@ -34,6 +34,7 @@ class Model:
         self.policy = policy or Policy()
         self.projects, self.types, self.members = (facts[k] for k in ("projects", "types", "members"))
         self.type_refs, self.member_refs = facts["type_refs"], facts["member_refs"]
+        self.left_out = facts.get("left_out")
 
     @cached_property
     def all_edges(self) -> DataFrame:
@@ -167,3 +168,14 @@ class Model:
     @cached_property
     def by_project(self) -> DataFrame:
         return V.flagged_projects(self.types, V.named_types(self.findings))
+
+    @cached_property
+    def not_analysed(self) -> DataFrame:
+        """(what, name, count): what the facts leave out, then what they refer to without declaring it."""
+        columns = ("what", "name", F.col("count").cast("long").alias("count"))
+        nameless = F.lit(None).cast("string").alias("name")
+        edges = M.dangling(self.all_edges, self.types).agg(F.count("*").alias("count")).select(F.lit("edge to an undeclared type").alias("what"), nameless, "count")
+        refs = M.dangling_member_refs(self.member_refs, self.members).select(F.lit("reference to an undeclared member").alias("what"), nameless, F.col("dangling_references").alias("count"))
+        empty = P.unmeasured(self.projects, self.types).select(F.lit("project without an analysed type").alias("what"), F.col("project").alias("name"), F.lit(1).alias("count"))
+        found = edges.select(*columns).unionByName(refs.select(*columns)).unionByName(empty.select(*columns))
+        return found if self.left_out is None else self.left_out.select(*columns).unionByName(found)

@@ -169,6 +169,14 @@ FROM (SELECT type_id, unnest(string_split(external, ';')) AS x FROM types) WHERE
     ("above", "SELECT DISTINCT x.component AS ca, y.component AS cb FROM project_edges e JOIN project_scc x ON e.a = x.node JOIN project_scc y ON e.b = y.node WHERE x.component <> y.component"),
     ("depths", "SELECT component, 0 AS depth FROM project_scc UNION SELECT a.ca, d.depth + 1 FROM depths d JOIN above a ON a.cb = d.component"),
     ("layers", "SELECT s.node, s.component, d.layer FROM project_scc s JOIN (SELECT component, max(depth) AS layer FROM depths GROUP BY 1) d USING (component)"),
+    ("outs_of", "SELECT a AS node, list_sort(list(b)) AS outs FROM project_edges GROUP BY 1"),
+    ("ins_of", "SELECT b AS node, list_sort(list(a)) AS ins FROM project_edges GROUP BY 1"),
+    ("sized_layers", "SELECT l.*, s.n FROM layers l JOIN (SELECT component, count(*) AS n FROM layers GROUP BY 1) s USING (component)"),
+    ("boxed", """SELECT list_sort(list(l.node)) AS projects, list_distinct(flatten(list(coalesce(o.outs, [])))) AS all_outs, l.layer, CASE WHEN l.n > 1 THEN l.component END AS cycle
+FROM sized_layers l LEFT JOIN outs_of o USING (node) LEFT JOIN ins_of i USING (node)
+GROUP BY l.layer, CASE WHEN l.n > 1 THEN l.component END, CASE WHEN l.n = 1 THEN coalesce(o.outs, []) END, CASE WHEN l.n = 1 THEN coalesce(i.ins, []) END"""),
+    ("cycle_projects", f"SELECT n.component, count(DISTINCT t.project) AS n FROM namespace_scc n JOIN types t ON n.node = {_NS.replace('namespace', 't.namespace')} GROUP BY 1"),
+    ("anchored", "SELECT c.component FROM namespace_scc c JOIN namespace_scc m ON m.component = c.component GROUP BY c.component, c.node HAVING count(*) FILTER (m.node <> c.node AND NOT starts_with(m.node, c.node || '.')) = 0"),
 ]
 
 _BODY = dict(TABLES)

@@ -153,17 +153,17 @@ add("g03_namespace_cycles", lambda m: m.namespace_cycles.select(F.get("members",
 add("g04_project_cycles", lambda m: m.project_cycles.select(F.get("members", F.lit(0)).alias("first"), "size", joined("members").alias("members")), "SELECT component AS first, count(*)::INTEGER AS size, string_agg(node, ';' ORDER BY node) AS members FROM project_scc GROUP BY 1 HAVING count(*) > 1")
 add("g05_tangles", lambda m: m.tangles.select("id", "size", "path_covers_every_member"))
 add("g06_g07_cycle_order", lambda m: m.namespace_cycles.select("id", "size", F.size("path").alias("steps"), "path_covers_every_member").orderBy(F.desc("size"), "id"))
-add("g08_cycle_shapes", lambda m: m.namespace_cycles.select(F.get("members", F.lit(0)).alias("first"), "shape", "mutual", "siblings"), """SELECT component AS first, CASE WHEN s.siblings > 0 THEN 'Coupling' WHEN s.mutual = 0 THEN 'SharedTypes' ELSE 'Coupling' END AS shape, s.mutual, s.siblings
+add("g08_cycle_shapes", lambda m: m.namespace_cycles.select(F.get("members", F.lit(0)).alias("first"), "shape", "mutual", "siblings"), """SELECT component AS first, CASE WHEN s.siblings > 0 THEN 'Coupling' WHEN (SELECT c.n FROM cycle_projects c WHERE c.component = s.component) = 1 AND s.component IN (SELECT component FROM anchored) THEN 'FolderLayout' WHEN s.mutual = 0 THEN 'SharedTypes' ELSE 'Coupling' END AS shape, s.mutual, s.siblings
 FROM (SELECT n.component, count(x.a) AS mutual, count(*) FILTER (x.a IS NOT NULL AND NOT (starts_with(x.a, x.b || '.') OR starts_with(x.b, x.a || '.'))) AS siblings FROM namespace_scc n
   LEFT JOIN (SELECT h.a, h.b FROM held h JOIN held k ON h.a = k.b AND h.b = k.a WHERE h.a < h.b) x ON x.a = n.node AND x.b IN (SELECT node FROM namespace_scc o WHERE o.component = n.component) GROUP BY 1) s""")
 add("g09_tangle_shapes", lambda m: m.tangle_shapes.select("id", "size", "shape"))
 add("g10_project_layers", lambda m: m.project_layers, "SELECT node, component, layer FROM layers")
-add("g11_project_groups", lambda m: m.project_groups.select(joined("projects").alias("projects"), joined("depends_on").alias("depends_on"), "layer", "is_cycle"))
-add("g12_depth", lambda m: m.project_layers.agg((F.max("layer") + 1).alias("depth"), F.max("layer").alias("top_layer")), "SELECT max(layer) + 1 AS depth, max(layer) AS top_layer FROM layers")
+add("g11_project_groups", lambda m: m.project_groups.select(joined("projects").alias("projects"), joined("depends_on").alias("depends_on"), "layer", "is_cycle"), "SELECT array_to_string(projects, ';') AS projects, array_to_string(list_sort(list_filter(all_outs, lambda x: NOT list_contains(projects, x))), ';') AS depends_on, layer, cycle IS NOT NULL AS is_cycle FROM boxed")
+add("g12_depth", lambda m: V.depth_and_width(m.project_groups), "SELECT max(layer) + 1 AS depth, max(layer) AS top_layer, max(boxes) AS widest_layer FROM (SELECT layer, count(*) AS boxes FROM boxed GROUP BY 1)")
 add("g13_dependents", lambda m: m.project_edges.groupBy(F.col("b").alias("project")).agg(joined(F.array_sort(F.collect_set("a"))).alias("dependents")), "SELECT b AS project, string_agg(a, ';' ORDER BY a) AS dependents FROM project_edges GROUP BY 1")
 add("a16_tangle_kinds", lambda m: P.tangle_kinds(P.tangle_edges(m.tangles, m.edges), m.type_refs))
 add("a16_heaviest_pairs", lambda m: P.heaviest_pairs(P.tangle_edges(m.tangles, m.edges)))
-add("a17_project_links", lambda m: P.project_links(m.project_cycles.select(F.explode("members").alias("node"), F.col("id").alias("component")), m.types, m.edges), "SELECT s.fp AS a, s.tp AS b, sum(s.weight)::BIGINT AS weight, first(s.from_type ORDER BY s.weight DESC, s.from_type, s.to_type) AS example_from, first(s.to_type ORDER BY s.weight DESC, s.from_type, s.to_type) AS example_to FROM sides s JOIN project_scc x ON s.fp = x.node JOIN project_scc y ON s.tp = y.node AND x.component = y.component WHERE s.fp <> s.tp GROUP BY 1, 2")
+add("a17_project_links", lambda m: P.project_links(m.project_cycles.select(F.explode("members").alias("node"), F.col("id").alias("component")), m.types, m.edges).drop("component"), "SELECT s.fp AS a, s.tp AS b, sum(s.weight)::BIGINT AS weight, first(s.from_type ORDER BY s.weight DESC, s.from_type, s.to_type) AS example_from, first(s.to_type ORDER BY s.weight DESC, s.from_type, s.to_type) AS example_to FROM sides s JOIN project_scc x ON s.fp = x.node JOIN project_scc y ON s.tp = y.node AND x.component = y.component WHERE s.fp <> s.tp GROUP BY 1, 2")
 
 # detectors: subject, receipts and qualifiers
 DETECTORS = {
@@ -202,7 +202,10 @@ add("p04_silenced", lambda m: m.judged.where(F.col("silenced_by") == X.RULES[3])
 add("p05_judged", lambda m: m.judged.select("kind", "subject", "silenced_by"), "SELECT kind, subject, silenced_by FROM judged")
 add("p06_detected", lambda m: m.detected.select("finding_key", "kind", "place", "subject", "type_id", F.size("receipts").alias("n_receipts")).drop("n_receipts"), "SELECT kind || '|' || subject AS finding_key, kind, place, subject, type_id FROM detected")
 add("p07_about", lambda m: X.about(m.findings, m.full.where("kind = 'ApiBoundary'")).select("kind", "subject"), "SELECT f.kind, f.subject FROM findings f SEMI JOIN (SELECT type_id FROM kinds WHERE kind = 'ApiBoundary') k USING (type_id)")
-add("p08_participants", lambda m: m.participants.groupBy("kind").agg(F.count("*").alias("participants")))
+add("p08_participants", lambda m: m.participants.groupBy("kind").agg(F.count("*").alias("participants")), """SELECT kind, count(*) AS participants FROM (SELECT d.kind FROM detected d JOIN edges e ON e.to_type = d.subject WHERE d.kind IN ('BugBlastRadius', 'ChangeCost')
+UNION ALL SELECT d.kind FROM detected d JOIN read r ON r.type_id = d.subject WHERE d.kind IN ('ConcealedDecisionType', 'ReliedOnAndIntricate', 'BreaksAlone', 'HubOrGodObject', 'BoundaryCarriesLogic', 'Coverage') AND r.most_complex_member IS NOT NULL
+UNION ALL SELECT d.kind FROM detected d JOIN members m ON m.type_id = d.subject WHERE d.kind = 'SharedMutableState' AND m.static_mutations > 0
+UNION ALL SELECT d.kind FROM detected d JOIN d01_reached x ON x.from_type = d.subject WHERE d.kind = 'SpansArchitecturalLayers') GROUP BY 1""")
 
 # selection and presentation
 add("v01_exemplars", lambda m: V.exemplars(m.findings), "SELECT kind, subject, total, row_number() OVER (ORDER BY total, kind)::INTEGER AS place FROM (SELECT kind, count(*) AS total, first(subject ORDER BY o1, o2, o3, subject) AS subject FROM findings GROUP BY 1)")
@@ -215,10 +218,15 @@ add("v07_foundation", lambda m: V.foundation(m.couplings, m.by_project), "SELECT
 add("v08_plot_points", lambda m: V.plot_points(m.by_project, m.couplings), "SELECT project, types, named, ca AS dependents, CASE WHEN sum(types) OVER () > types THEN 100.0 * ca / (sum(types) OVER () - types)::DOUBLE ELSE 0 END AS reach, 100.0 * named / types::DOUBLE AS density FROM by_project JOIN couplings USING (project)")
 add("v09_plot_bounds", lambda m: V.plot_points(m.by_project, m.couplings).agg(V.plot_bound(F.max("reach")).alias("bound")).select("bound", V.plot_step(F.col("bound")).alias("step")), "SELECT bound, greatest(5.0, bound / 5.0)::DOUBLE AS step FROM (SELECT greatest(10.0, ceil(max(reach) / 10.0) * 10.0)::DOUBLE AS bound FROM (SELECT CASE WHEN sum(types) OVER () > types THEN 100.0 * ca / (sum(types) OVER () - types)::DOUBLE ELSE 0 END AS reach FROM by_project JOIN couplings USING (project)))")
 add("v11_mosaic_shares", lambda m: m.full.groupBy("project").agg(F.sum("lines_of_code").alias("lines")), "SELECT project, sum(lines_of_code)::BIGINT AS lines FROM read GROUP BY 1")
-add("v12_diagram_rows", lambda m: V.diagram_rows(m.project_groups).select(joined("projects").alias("projects"), "layer", "row", "place"))
+add("v11_line_shares", lambda m: V.line_shares(m.full), "SELECT type_id, project, 100.0 * lines_of_code / nullif(sum(lines_of_code) OVER (PARTITION BY project), 0)::DOUBLE AS percent FROM read")
+add("v11_named_ink", lambda m: V.named_ink(m.full, V.named_types(m.findings)), "SELECT count(*) AS types, count(n.type_id) AS named, 100.0 * coalesce(sum(lines_of_code) FILTER (n.type_id IS NOT NULL), 0) / nullif(sum(lines_of_code), 0)::DOUBLE AS ink_percent FROM read LEFT JOIN named n USING (type_id)")
+add("v12_diagram_rows", lambda m: V.diagram_rows(m.project_groups).select(joined("projects").alias("projects"), "layer", "row", "place"), "SELECT array_to_string(projects, ';') AS projects, layer, ((turn - 1) // 5)::BIGINT AS \"row\", ((turn - 1) % 5)::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY projects) AS turn FROM boxed)")
 add("v13_unread_carriers", lambda m: V.carriers(m.nomination("NoStaticReferences").frame, m.types), "SELECT c.type_id, t.name, c.unread, c.total FROM (SELECT type_id, count(*) AS unread, max(DeclaringTypeDataMembers)::BIGINT AS total FROM d12 WHERE part_of_an_unread_group GROUP BY 1) c JOIN types t USING (type_id) WHERE c.total > 0")
 add("v14_layer_span_groups", lambda m: m.nomination("SpansArchitecturalLayers").frame.groupBy("PatternGroupSize").agg(F.count("*").alias("n")), "SELECT PatternGroupSize::DOUBLE AS PatternGroupSize, count(*) AS n FROM d01 GROUP BY 1")
+add("v14_layering_patterns", lambda m: V.layering_patterns(m.findings, m.participants, m.full), "SELECT signature, count(*) AS types, array_to_string(list_sort(list(name))[1:4], ', ') AS names FROM (SELECT coalesce(array_to_string(list_sort(s.ks), '+'), '') AS signature, r.name FROM d01 d JOIN read r ON r.type_id = d.type_id LEFT JOIN d01_sets s ON s.from_type = d.type_id WHERE d.PatternGroupSize > 5) GROUP BY 1")
+add("v17_fixed_gate_shares", lambda m: V.fixed_gate_shares(m.findings, m.types), "SELECT kind, count(*) AS found, (SELECT count(*) FROM types) AS types, 100.0 * count(*) / (SELECT count(*) FROM types) AS percent FROM findings WHERE kind IN ('HubOrGodObject', 'BreaksAlone') GROUP BY 1")
 add("v18_below_floor", lambda m: m.full.where(F.col("cohort_size") < 5).select("type_id", "fan_in", "max_cc"), "SELECT type_id, fan_in, max_cc FROM read WHERE cohort_size < 5")
+add("v18_without_peers", lambda m: V.without_peers(m.findings), "SELECT count(*) AS types, count(*) FILTER (globally_extreme_fan_in OR globally_extreme_complexity) AS extreme, count(*) FILTER (subject IN (SELECT subject FROM findings WHERE kind <> 'Coverage')) AS also_named FROM d13")
 add("v19_lead", lambda m: V.lead(m.findings), "SELECT kind, subject, total, row_number() OVER (ORDER BY total, kind)::INTEGER AS place FROM (SELECT kind, count(*) AS total, first(subject ORDER BY o1, o2, o3, subject) AS subject FROM findings WHERE kind <> 'Coverage' GROUP BY 1)")
 add("v22_drill_down", lambda m: V.drill_down(m.findings, m.full.select("type_id", "name"), 15), "SELECT type_id, name FROM read SEMI JOIN (SELECT type_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY o1, o2, o3, subject) AS shown FROM findings) WHERE shown <= 15) s USING (type_id)")
 
@@ -226,5 +234,5 @@ add("v22_drill_down", lambda m: V.drill_down(m.findings, m.full.select("type_id"
 add("k01_types_table", lambda m: sinks.types_table(m.full).select("Id", "Kind", "KindEvidence", "Cohort", "CohortBasis", "FanIn", "FanInPctl", "FanInXMedian", "Instability", "MostComplexMember", "ExternalNamespaces", "File", "Line"), "SELECT type_id AS Id, kind AS Kind, evidence AS KindEvidence, cohort AS Cohort, cohort_basis AS CohortBasis, fan_in AS FanIn, CASE WHEN cohort_size >= 5 THEN fan_in_pct END AS FanInPctl, CASE WHEN cohort_size >= 5 AND isfinite(fan_in_times) THEN fan_in_times END AS FanInXMedian, instability AS Instability, most_complex_member AS MostComplexMember, array_to_string(list_sort(string_split(external, ';')), ';') AS ExternalNamespaces, CASE WHEN line > 0 THEN file END AS File, CASE WHEN line > 0 THEN line END AS Line FROM read")
 add("k02_members_table", lambda m: sinks.members_table(m.members), "SELECT member_id AS Id, name AS Name, name AS Signature, kind AS Kind, accessibility AS Accessibility, type_id AS DeclaringType, project AS Project, cyclomatic AS Cyclomatic, dsm AS Dsm, transform AS Transform, static_mutations AS StaticMutations, max_nesting AS MaxNestingDepth, parameter_count AS ParameterCount, lines_of_code AS LinesOfCode, CASE WHEN file <> '' AND line > 0 THEN file END AS File, CASE WHEN file <> '' AND line > 0 THEN line END AS Line FROM members")
 add("k03_edges_table", lambda m: sinks.edges_table(m.all_edges), "SELECT from_type AS \"From\", to_type AS \"To\", weight AS Weight, array_to_string(list_transform(kinds, lambda k: ['Other', 'Inheritance', 'InterfaceImplementation', 'Field', 'Parameter', 'ReturnType', 'Construction', 'Invocation', 'GenericArgument', 'Attribute'][k + 1]), ';') AS Kinds, file AS File, line AS Line FROM all_edges")
-add("k05_json_lines", lambda m: sinks.json_lines(m.full, m.members, m.all_edges))
+add("k05_json_lines", sinks.document)
 add("policy_values", lambda m: m.types.sparkSession.createDataFrame([(n, float(v)) for n, v in Policy().values()], "name string, value double"), "SELECT name, CAST(value AS DOUBLE) AS value FROM (VALUES ('min_cohort', 5), ('cohort_basis_floor', 5), ('outlier_factor', 3), ('min_fan_in', 5), ('top', 15), ('high_cc', 10), ('min_decision_cc', 5), ('concealed_top_rank', 3), ('boundary_top_fraction', 0.05), ('hub_min', 5), ('god_object_members', 20), ('min_kind_span', 3), ('stable_threshold', 0.2), ('isolated_threshold', 0.8), ('breaks_alone_min_fan_in', 1), ('concealed_fan_in_ceiling', 2), ('concealed_fan_out_ceiling', 2), ('blast_fan_in_multiple', 2), ('blast_top_fraction', 0.05), ('blast_complexity_percentile', 70), ('change_cost_top_fraction', 0.05), ('roll_call_divisor', 3), ('surface_outlier_multiple', 1.5), ('surface_outlier_floor', 1), ('max_named_surfaces', 5), ('global_fan_in_percentile', 90), ('global_complexity_percentile', 90), ('global_complexity_floor', 1), ('min_tangle', 4)) x(name, value)")

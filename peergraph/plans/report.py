@@ -7,15 +7,21 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from html import escape
 
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import metrics as M
+from ..functions.scalars import EDGE_KINDS
 from ..operators import projects as P
 from ..operators import selection as V
 from ..operators.detectors import KINDS
 from . import drawing
 from .model import Model
 
+# How many of each are listed in a line or section.
+NAMESPACES, PAIRS, LINKS, KINDS_SHOWN, TYPES, PROJECTS, LISTED = 6, 6, 6, 3, 8, 4, 10
+ZONES = {"Pain": "; zone of pain: much rests on it and little of it is abstract", "Uselessness": "; zone of uselessness: abstract and unused", "NearMainSequence": "; near the main sequence"}
+
 
 def number(x: float | None) -> str:
     """At most two decimals; a missing value has no number."""
@@ -73,24 +79,123 @@ def sections(model: Model, top: int | None = None) -> dict[str, tuple[int, list[
     return out
 
 
+def some(names: list[str], most: int, between: str = ", ") -> str:
+    """The first names, and of how many they are where some are left out."""
+    shown = between.join(names[:most])
+    return shown if len(names) <= most else f"{shown} ({most} of {len(names)} shown)"
+
+
+def short(subject: str) -> str:
+    """A subject without its kind and assembly."""
+    return subject.split("|", 2)[-1]
+
+
+def capped(frame: DataFrame, most: int, noun: str, *order: Column | str) -> tuple[list, list[str]]:
+    """The first rows in order, and a line that says how many there are beyond them."""
+    rows = frame.orderBy(*order).limit(most).collect()
+    total = frame.count() if len(rows) == most else len(rows)
+    return rows, [f"{total - len(rows):,} not shown of {plural(total, noun)}"] if total > len(rows) else []
+
+
 def coverage(model: Model) -> list[str]:
-    """What was not analysed."""
-    edges = M.dangling(model.all_edges, model.types).count()
-    refs = M.dangling_member_refs(model.member_refs, model.members).first()[0]
-    empty = [r.project for r in P.unmeasured(model.projects, model.types).orderBy("project").limit(10).collect()]
-    return [f"{plural(edges, 'edge')} to types that aren't declared", f"{plural(refs, 'reference')} to members that aren't", *[f"no type of {p} is analysed" for p in empty]]
-
-
-def structure(model: Model) -> list[str]:
-    """Cycles, tangles, stability of projects, integrations; at most ten rows each."""
-    out = [f"namespace cycle of {plural(r['size'], 'namespace')} ({r['shape']}): {', '.join(r['members'][:4])}" for r in model.namespace_cycles.orderBy(F.desc("size"), "id").limit(10).collect()]
-    out += [f"project cycle of {plural(r['size'], 'project')}: {', '.join(r['members'][:4])}" for r in model.project_cycles.orderBy(F.desc("size"), "id").limit(10).collect()]
-    out += [f"tangle of {plural(r['size'], 'type')} ({r['shape']})" for r in model.tangle_shapes.orderBy(F.desc("size"), "id").limit(10).collect()]
-    out += [f"{r.project}: {r.ca} in, {r.ce} out, abstractness {number(r.abstractness)}, instability {number(r.instability)}, {r.zone}" for r in model.couplings.orderBy(F.desc("ca"), "project").limit(10).collect()]
-    out += [f"{r.namespace}: {plural(r.types_touching, 'type')} touch it" for r in P.integrations(model.dependencies).orderBy(F.desc("types_touching"), "namespace").limit(10).collect()]
+    """What was not analysed: what the facts leave out, and what they refer to without declaring it."""
+    counts = model.not_analysed.groupBy("what").agg(F.sum("count").alias("n")).orderBy("what").collect()
+    w = W.partitionBy("what").orderBy("name")
+    named = model.not_analysed.where("name is not null").withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= LISTED).orderBy("what", "name").collect()
+    names: dict[str, list[str]] = {}
+    for r in named:
+        names.setdefault(r.what, []).append(r.name)
+    return [f"{r.what}: " + (f"{r.n:,}" if r.n else "none") + (f" ({', '.join(names[r.what])}{', ...' if r.n > len(names[r.what]) else ''})" if r.what in names else "") for r in counts]
+
+
+def peerless(model: Model) -> list[str]:
+    """What can be said of types with too few peers."""
+    r = V.without_peers(model.findings).first()
+    if not r.types:
+        return ["every type has peers to be compared with"]
+    out = [f"{plural(r.types, 'type')} with fewer than {model.policy.min_cohort} in the peer group: readings against peers are blank, not zero", f"{plural(r.also_named, 'type')} of these named above all the same, by findings that need no peers"]
+    lone = model.findings.where("kind = 'Coverage'").select("subject", F.exists("qualifiers", lambda q: q.holds).alias("extreme"))
+    types = model.full.select(F.col("type_id").alias("subject"), "name", "fan_in", "max_cc", "cohort_size").join(lone, "subject")
+    for note, rows in ((" (extreme in the whole, a weaker claim: it compares unlike things)", types.where("extreme")), ("", types)):
+        shown, more = capped(rows, model.policy.top, "type", F.desc("fan_in"), "subject")
+        out += [f"{t.name}: {plural(t.fan_in, 'caller')}, complexity {t.max_cc}, {plural(t.cohort_size - 1, 'peer')}{note}" for t in shown] + more
     return out
 
 
+def loop(r: Row, name: Callable[[str], str] = str) -> str:
+    steps = [name(x) for x in r["path"]]
+    return "  loop: " + " -> ".join([*steps, steps[0]]) + ("" if r["path_covers_every_member"] else f" ({len(steps)} of {r['size']}; all reach each other)")
+
+
+def cycle_lines(model: Model) -> dict[str, list[str]]:
+    """Namespace cycles, those set aside with the reason, project cycles with their links, tangles with what holds them."""
+    top, by_size = model.policy.top, (F.desc("size"), "id")
+    shaped = model.namespace_cycles
+    rows, more = capped(shaped.where("shape = 'Coupling'"), top, "cycle", *by_size)
+    held = P.pairs_within(shaped.where(F.col("id").isin([r.id for r in rows])), P.held_references(model.edges, model.types)).withColumn("weight", F.col("forward") + F.col("back"))
+    turn = F.row_number().over(W.partitionBy("id").orderBy(F.desc("weight"), "first", "second"))
+    pairs: dict[str, list[str]] = {}
+    for p in held.withColumn("turn", turn).where(F.col("turn") <= PAIRS).orderBy("id", "turn").collect() if rows else []:
+        pairs.setdefault(p.id, []).append(f"  {p.first} <-> {p.second}: {plural(p.weight, 'held reference')}")
+    namespaces = []
+    for r in rows:
+        shown = pairs.get(r.id, [])
+        namespaces += [f"{plural(r['size'], 'namespace')}: {some(r.members, NAMESPACES, ' <-> ')}", loop(r), *shown]
+        if r.mutual > len(shown):
+            namespaces.append(f"  {r.mutual - len(shown)} more pairs that hold each other")
+    aside, left = capped(shaped.where("shape <> 'Coupling'"), top, "cycle", *by_size)
+    reasons = {"FolderLayout": lambda r: f"folders of one project, {r.projects[0]}", "SharedTypes": lambda r: "they name each other's types and hold none"}
+    set_aside = [f"{r.anchor or r.members[0]}: {plural(r['size'], 'namespace')}; {reasons[r['shape']](r)}" for r in aside] + left
+
+    rings, rest = capped(model.project_cycles, top, "cycle", *by_size)
+    nodes = model.project_cycles.where(F.col("id").isin([r.id for r in rings])).select(F.explode("members").alias("node"), F.col("id").alias("component"))
+    closing = P.project_links(nodes, model.types, model.edges).withColumn("turn", F.row_number().over(W.partitionBy("component").orderBy(F.desc("weight"), "a", "b"))).where(F.col("turn") <= LINKS)
+    links: dict[str, list[str]] = {}
+    for x in closing.orderBy("component", "turn").collect() if rings else []:
+        links.setdefault(x.component, []).append(f"  {x.a} -> {x.b}: {plural(x.weight, 'reference')}, the heaviest from {short(x.example_from)} to {short(x.example_to)}")
+    projects = [line for r in rings for line in (f"{plural(r['size'], 'project')}: {some(r.members, PROJECTS, ' <-> ')}", loop(r), *links.get(r.id, []))] + rest
+
+    knots, others = capped(model.tangle_shapes, top, "tangle", *by_size)
+    inner = P.tangle_edges(model.tangles.where(F.col("id").isin([r.id for r in knots])), model.edges)
+    kinds: dict[str, list[str]] = {}
+    heaviest: dict[str, str] = {}
+    if knots:
+        for x in P.tangle_kinds(inner, model.type_refs).orderBy("id", F.desc("references"), "kind").collect():
+            kinds.setdefault(x.id, []).append(f"{x['references']:,} {EDGE_KINDS[x.kind]}")
+        heaviest = {x.id: f"most between {short(x.first)} and {short(x.second)} ({x.weight:,})" for x in P.heaviest_pairs(inner).collect()}
+    tangles = []
+    for r in knots:
+        why = "inheritance explains it" if r["shape"] == "Hierarchy" else "a cycle stays without inheritance"
+        tangles += [f"{plural(r['size'], 'type')}: {some([short(m) for m in r.members], TYPES)}", loop(r, short), f"  {', '.join(kinds[r.id][:KINDS_SHOWN])}; {heaviest[r.id]}; {why}"]
+    return {
+        "Namespaces that hold each other": namespaces or ["none"],
+        "Cycles of namespaces that are no layering problem": set_aside or ["none"],
+        "Cycles of projects": projects or ["none"],
+        f"Tangles of {model.policy.min_tangle} types or more": tangles + others or ["none"],
+    }
+
+
+def stability(model: Model) -> list[str]:
+    """Projects by how many types rest on them, and those that can't be placed."""
+    rows, more = capped(model.couplings, model.policy.top, "project", F.desc("ca"), "project")
+    out = []
+    for r in rows:
+        if r.instability is None:
+            out.append(f"{r.project}: no coupling with other projects, abstractness {number(r.abstractness)}")
+        else:
+            out.append(f"{r.project}: {r.ca} in, {r.ce} out, {r.abstract_types} of {r.total_types} abstract, instability {number(r.instability)}, distance {number(r.distance)}" + ZONES.get(r.zone, ""))
+    lost, unlisted = capped(P.unmeasured(model.projects, model.types), LISTED, "project", "project")
+    return out + more + [f"{r.project}: no analysed type, can't be placed" for r in lost] + unlisted
+
+
+def shape(model: Model) -> list[str]:
+    """Depth and width of the project layers, and what lies outside."""
+    r = V.depth_and_width(model.project_groups).first()
+    out = [f"{plural(r.depth, 'layer')}, {plural(r.widest_layer, 'box', 'boxes')} in the widest"] if r.depth else []
+    rows, more = capped(P.integrations(model.dependencies), LISTED, "dependency", F.desc("types_touching"), "namespace")
+    return out + [f"{x.namespace}: {plural(x.types_touching, 'type')} touch it" for x in rows] + more
+
+
 def text(model: Model, top: int | None = None, profile: Profile | None = None) -> str:
     profile = profile or Profile()
     with profile.stage("facts"):
@@ -100,19 +205,33 @@ def text(model: Model, top: int | None = None, profile: Profile | None = None) -
         lead = V.lead(model.findings).orderBy("place").collect()
     lines = [f"{plural(n_types, 'type')} in {plural(n_projects, 'project')}. Every line carries the numbers behind it; an order is no severity.", "", "First of each kind, rarest kind first"]
     lines += [f"  {r.kind} (1 of {r.total}): {found[r.kind][1][0]}" for r in lead]
+    shares = {r.kind: r for r in V.fixed_gate_shares(model.findings, model.types).collect()}
+    patterns = [f"{plural(r.types, 'type')} that reach {r.signature}, a pattern and no exception: {r.names}" for r in V.layering_patterns(model.findings, model.participants, model.full).orderBy("types", "signature").limit(LISTED).collect()]
     for kind in KINDS:
         total, rows = found.get(kind, (0, []))
         if rows:
             lines += ["", f"{kind}: {total:,}", *[f"  {row}" for row in rows]]
             if total > len(rows):
                 lines.append(f"  {total - len(rows):,} not shown of {total:,}")
+        if kind in shares:
+            lines.append(f"  {number(shares[kind].percent)} % of {plural(shares[kind].types, 'type')}; the gate is a fixed count, so compare names and not percentages between code bases")
+        if kind == V.SPANS:
+            lines += [f"  {x}" for x in patterns]
     with profile.stage("structure"):
-        lines += ["", "Structure", *[f"  {x}" for x in structure(model)]]
+        parts = cycle_lines(model) | {"Stability and abstractness of projects": stability(model), "Layers and outside": shape(model)}
     with profile.stage("coverage"):
-        lines += ["", "What was not analysed", *[f"  {x}" for x in coverage(model)]]
+        parts |= {"Types without peers": peerless(model), "What was not analysed": coverage(model)}
+    for title, rows in parts.items():
+        lines += ["", title, *[f"  {x}" for x in rows]]
     return "\n".join(lines) + "\n"
 
 
+def ink(model: Model) -> str:
+    """The mosaic's caption: the share of types that are tinted, and of the drawn area."""
+    r = V.named_ink(model.full, V.named_types(model.findings)).first()
+    return f"{r.named:,} of {plural(r.types, 'type')} tinted, {number(r.ink_percent or 0)} % of the lines"
+
+
 def drawings(model: Model, most_types: int = 20_000) -> dict[str, str]:
     """Map, mosaic and plot as SVG. The mosaic shows the ``most_types`` longest types and says so in its file name if there are more."""
     boxes = V.diagram_rows(model.project_groups).join(model.project_groups.select("projects", "is_cycle"), "projects").orderBy("layer", "row", "place").collect()
@@ -129,7 +248,12 @@ def drawings(model: Model, most_types: int = 20_000) -> dict[str, str]:
     return out
 
 
-def html(model: Model, top: int | None = None) -> str:
-    """The report and its drawings as one page."""
-    pictures = "".join(f"<h2>{escape(n)}</h2>{svg}" for n, svg in drawings(model).items())
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Analysis</title></head><body>{pictures}<pre>{escape(text(model, top))}</pre></body></html>'
+def html(model: Model, top: int | None = None, full: bool = True) -> str:
+    """The drawings and the report as one page, a folding block for each section; without ``full`` only the lead and the counts are open."""
+    pictures = "".join(f"<h2>{escape(n)}</h2>{svg}" + (f"<p>{escape(ink(model))}</p>" if n.startswith("mosaic") else "") for n, svg in drawings(model).items())
+    first, *rest = text(model, top).strip("\n").split("\n\n")
+    blocks = []
+    for k, part in enumerate(rest):
+        title, _, body = part.partition("\n")
+        blocks.append(f"<details{' open' if full or k == 0 else ''}><summary>{escape(title)}</summary><pre>{escape(body)}</pre></details>")
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Analysis</title></head><body><p>{escape(first)}</p>{pictures}{"".join(blocks)}</body></html>'
