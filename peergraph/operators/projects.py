@@ -100,22 +100,34 @@ def cycle_shapes(found: DataFrame, types: DataFrame, held: DataFrame) -> DataFra
     return joined.withColumn("shape", shape)
 
 
+def first_member(found: DataFrame) -> DataFrame:
+    """(first, members) of cycles. No two cycles share a member, so the first stands for one on the way; an id names all members, and on each row of a cycle it would grow with the square of the cycle."""
+    return found.select(F.get("members", F.lit(0)).alias("first"), "members")
+
+
 def tangle_edges(tangles: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges within a tangle, with its id."""
-    each = tangles.select("id", F.explode("members").alias("type_id"))
-    return edges.join(each.select(F.col("type_id").alias("from_type"), "id"), "from_type").join(each.select(F.col("type_id").alias("to_type"), F.col("id").alias("same")), "to_type").where("id = same").drop("same")
+    """Edges within a tangle, with ``tangle``, its first member."""
+    each = first_member(tangles).select(F.col("first").alias("tangle"), F.explode("members").alias("type_id"))
+    ends = edges.join(each.select(F.col("type_id").alias("from_type"), "tangle"), "from_type").join(each.select(F.col("type_id").alias("to_type"), F.col("tangle").alias("same")), "to_type")
+    return ends.where("tangle = same").drop("same")
+
+
+def with_id(rows: DataFrame, tangles: DataFrame) -> DataFrame:
+    """rows with the tangle's ``id`` for ``tangle``: of results, of which a tangle has few."""
+    ids = tangles.select(F.get("members", F.lit(0)).alias("tangle"), "id")
+    return rows.join(ids, "tangle").select("id", *[c for c in rows.columns if c != "tangle"])
 
 
 def tangle_kinds(inner: DataFrame, type_refs: DataFrame) -> DataFrame:
-    """(id, kind, references) of the references within each tangle."""
-    return type_refs.join(inner.select("id", "from_type", "to_type"), ["from_type", "to_type"]).groupBy("id", "kind").agg(F.count("*").alias("references"))
+    """(tangle, kind, references) of the references within each tangle."""
+    return type_refs.join(inner.select("tangle", "from_type", "to_type"), ["from_type", "to_type"]).groupBy("tangle", "kind").agg(F.count("*").alias("references"))
 
 
 def heaviest_pairs(inner: DataFrame) -> DataFrame:
-    """(id, first, second, weight): of each tangle the two types that refer to each other most (ties: names)."""
-    pairs = inner.groupBy("id", F.least("from_type", "to_type").alias("first"), F.greatest("from_type", "to_type").alias("second")).agg(F.sum("weight").alias("weight"))
-    best = pairs.groupBy("id").agg(F.min(F.struct((-F.col("weight")).alias("w"), "first", "second")).alias("p"))
-    return best.select("id", "p.first", "p.second", (-F.col("p.w")).alias("weight"))
+    """(tangle, first, second, weight): of each tangle the two types that refer to each other most (ties: names)."""
+    pairs = inner.groupBy("tangle", F.least("from_type", "to_type").alias("first"), F.greatest("from_type", "to_type").alias("second")).agg(F.sum("weight").alias("weight"))
+    best = pairs.groupBy("tangle").agg(F.min(F.struct((-F.col("weight")).alias("w"), "first", "second")).alias("p"))
+    return best.select("tangle", "p.first", "p.second", (-F.col("p.w")).alias("weight"))
 
 
 def project_links(members: DataFrame, types: DataFrame, edges: DataFrame) -> DataFrame:

@@ -156,17 +156,17 @@ def cycle_lines(model: Model) -> dict[str, list[str]]:
     projects = [line for r in rings for line in (f"{plural(r['size'], 'project')}: {some(r.members, PROJECTS, ' <-> ')}", loop(r), *links.get(r.id, []))] + rest
 
     knots, others = capped(model.tangle_shapes, top, "tangle", *by_size)
-    inner = P.tangle_edges(model.tangles.where(F.col("id").isin([r.id for r in knots])), model.edges)
+    inner = P.tangle_edges(model.tangles.where(F.get("members", F.lit(0)).isin([r.members[0] for r in knots])), model.edges)
     kinds: dict[str, list[str]] = {}
     heaviest: dict[str, str] = {}
     if knots:
-        for x in P.tangle_kinds(inner, model.type_refs).orderBy("id", F.desc("references"), "kind").collect():
-            kinds.setdefault(x.id, []).append(f"{x['references']:,} {EDGE_KINDS[x.kind]}")
-        heaviest = {x.id: f"most between {short(x.first)} and {short(x.second)} ({x.weight:,})" for x in P.heaviest_pairs(inner).collect()}
+        for x in P.tangle_kinds(inner, model.type_refs).orderBy("tangle", F.desc("references"), "kind").collect():
+            kinds.setdefault(x.tangle, []).append(f"{x['references']:,} {EDGE_KINDS[x.kind]}")
+        heaviest = {x.tangle: f"most between {short(x.first)} and {short(x.second)} ({x.weight:,})" for x in P.heaviest_pairs(inner).collect()}
     tangles = []
     for r in knots:
         why = "inheritance explains it" if r["shape"] == "Hierarchy" else "a cycle stays without inheritance"
-        tangles += [f"{plural(r['size'], 'type')}: {some([short(m) for m in r.members], TYPES)}", loop(r, short), f"  {', '.join(kinds[r.id][:KINDS_SHOWN])}; {heaviest[r.id]}; {why}"]
+        tangles += [f"{plural(r['size'], 'type')}: {some([short(m) for m in r.members], TYPES)}", loop(r, short), f"  {', '.join(kinds[r.members[0]][:KINDS_SHOWN])}; {heaviest[r.members[0]]}; {why}"]
     return {
         "Namespaces that hold each other": namespaces or ["none"],
         "Cycles of namespaces that are no layering problem": set_aside or ["none"],
