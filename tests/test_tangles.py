@@ -39,3 +39,10 @@ def test_heaviest_pairs(edges, tangles):
     ids = {r.members[0]: r.id for r in tangles.collect()}
     found = P.with_id(P.heaviest_pairs(inner), tangles)
     assert sorted(map(tuple, found.collect())) == [(ids["t0000"], "t0007", "t0008", 4), (ids["u1"], "u1", "u3", 2)]
+
+
+def test_tangle_kinds(type_refs, edges, tangles):
+    found = P.tangle_kinds(P.tangle_edges(tangles, edges), type_refs)
+    assert longest(found) < 200
+    ids = {r.members[0]: r.id for r in tangles.collect()}
+    assert sorted(map(tuple, P.with_id(found, tangles).collect())) == sorted([(ids["t0000"], 3, RING // 2), (ids["t0000"], 4, RING // 2), (ids["t0000"], 5, 3), (ids["u1"], 1, 3), (ids["u1"], 8, 1)])
