@@ -149,9 +149,10 @@ class Model:
         inner = cut(P.tangle_edges(self.tangles, self.edges))
         chosen = inner.where(~F.arrays_overlap("kinds", F.array(F.lit(1), F.lit(2))))
         loops = G.strongly_connected(chosen.select(F.col("from_type").alias("a"), F.col("to_type").alias("b")), 2)
-        of = self.tangles.select("id", F.explode("members").alias("node"))
-        tangled = of.join(loops, "node").select("id").distinct().withColumn("left", F.lit(True))
-        return self.tangles.join(tangled, "id", "left").withColumn("shape", F.when(F.col("left"), "Entangled").otherwise("Hierarchy")).drop("left")
+        of = P.first_member(self.tangles).select("first", F.explode("members").alias("node"))
+        tangled = of.join(loops, "node").select("first").distinct().withColumn("left", F.lit(True))
+        first = self.tangles.withColumn("first", F.get("members", F.lit(0)))
+        return first.join(tangled, "first", "left").withColumn("shape", F.when(F.col("left"), "Entangled").otherwise("Hierarchy")).drop("first", "left")
 
     @cached_property
     def project_layers(self) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from peergraph.operators import graph as G
 from peergraph.operators import projects as P
+from peergraph.plans.model import Model
 
 RING = 400
 
@@ -46,3 +47,15 @@ def test_tangle_kinds(type_refs, edges, tangles):
     assert longest(found) < 200
     ids = {r.members[0]: r.id for r in tangles.collect()}
     assert sorted(map(tuple, P.with_id(found, tangles).collect())) == sorted([(ids["t0000"], 3, RING // 2), (ids["t0000"], 4, RING // 2), (ids["t0000"], 5, 3), (ids["u1"], 1, 3), (ids["u1"], 8, 1)])
+
+
+def test_tangle_shapes(edges, tangles, monkeypatch):
+    model = Model(dict.fromkeys(("projects", "types", "members", "type_refs", "member_refs")))
+    model.tangles, model.edges = tangles, edges
+    held = []
+    monkeypatch.setattr("peergraph.plans.model.cut", lambda df: held.append(df) or df.localCheckpoint())
+    found = model.tangle_shapes
+    # u1, u2, u3 refer to each other by inheritance alone, but for what comes with it
+    assert {r.members[0]: (r["size"], r["shape"]) for r in found.collect()} == {"t0000": (RING, "Entangled"), "u1": (3, "Hierarchy")}
+    assert found.columns == [*tangles.columns, "shape"]
+    assert all(longest(df) < 200 for df in held)
