@@ -81,30 +81,31 @@ def held_pairs(held: DataFrame) -> DataFrame:
     return found.select(F.col("x.a").alias("first"), F.col("x.b").alias("second"), F.col("x.held").alias("forward"), F.col("y.held").alias("back"), (~below).alias("siblings"))
 
 
+def first_member(found: DataFrame) -> DataFrame:
+    """(first, members) of cycles. No two cycles share a member, so the first stands for one on the way; an id names all members, and on each row of a cycle it would grow with the square of the cycle."""
+    return found.select(F.get("members", F.lit(0)).alias("first"), "members")
+
+
 def pairs_within(found: DataFrame, held: DataFrame) -> DataFrame:
-    """Held pairs of which both ends are members of one cycle, with its ``id``."""
-    each = found.select("id", F.explode("members").alias("ns"))
-    ends = held_pairs(held).join(each.select("id", F.col("ns").alias("first")), "first").join(each.select(F.col("id").alias("same"), F.col("ns").alias("second")), "second")
-    return ends.where("id = same").drop("same")
+    """Held pairs of which both ends are members of one cycle, with ``cycle``, its first member."""
+    each = first_member(found).select(F.col("first").alias("cycle"), F.explode("members").alias("ns"))
+    ends = held_pairs(held).join(each.select("cycle", F.col("ns").alias("first")), "first").join(each.select(F.col("cycle").alias("same"), F.col("ns").alias("second")), "second")
+    return ends.where("cycle = same").drop("same")
 
 
 def cycle_shapes(found: DataFrame, types: DataFrame, held: DataFrame) -> DataFrame:
     """Namespace cycles with their projects, anchor, held pairs and shape."""
-    each = found.select("id", F.explode("members").alias("ns"))
+    each = first_member(found).select(F.col("first").alias("cycle"), F.explode("members").alias("ns"))
     of_ns = types.select(S.namespace_or_global(F.col("namespace")).alias("ns"), "project").distinct()
-    spans = each.join(of_ns, "ns").groupBy("id").agg(F.array_sort(F.collect_set("project")).alias("projects"))
-    counts = pairs_within(found, held).groupBy("id").agg(F.count("*").alias("mutual"), F.count_if("siblings").alias("siblings"))
-    anchor = F.get(F.filter("members", lambda c: F.forall("members", lambda m: (m == c) | F.startswith(m, F.concat(c, F.lit("."))))), F.lit(0))
-    joined = found.join(spans, "id", "left").join(counts, "id", "left").na.fill(0, ["mutual", "siblings"]).withColumn("anchor", anchor)
+    spans = each.join(of_ns, "ns").groupBy("cycle").agg(F.array_sort(F.collect_set("project")).alias("projects"))
+    counts = pairs_within(found, held).groupBy("cycle").agg(F.count("*").alias("mutual"), F.count_if("siblings").alias("siblings"))
+    # a namespace that holds all others comes before them
+    anchor = F.when(F.forall("members", lambda m: (m == F.col("cycle")) | F.startswith(m, F.concat("cycle", F.lit(".")))), F.col("cycle"))
+    joined = found.withColumn("cycle", F.get("members", F.lit(0))).join(spans, "cycle", "left").join(counts, "cycle", "left").na.fill(0, ["mutual", "siblings"]).withColumn("anchor", anchor).drop("cycle")
     shape = F.when(F.col("siblings") > 0, "Coupling").when((F.size("projects") == 1) & F.col("anchor").isNotNull(), "FolderLayout").when(F.col("mutual") == 0, "SharedTypes").otherwise("Coupling")
     return joined.withColumn("shape", shape)
 
 
-def first_member(found: DataFrame) -> DataFrame:
-    """(first, members) of cycles. No two cycles share a member, so the first stands for one on the way; an id names all members, and on each row of a cycle it would grow with the square of the cycle."""
-    return found.select(F.get("members", F.lit(0)).alias("first"), "members")
-
-
 def tangle_edges(tangles: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges within a tangle, with ``tangle``, its first member."""
     each = first_member(tangles).select(F.col("first").alias("tangle"), F.explode("members").alias("type_id"))

@@ -132,14 +132,14 @@ def cycle_lines(model: Model) -> dict[str, list[str]]:
     top, by_size = model.policy.top, (F.desc("size"), "id")
     shaped = model.namespace_cycles
     rows, more = capped(shaped.where("shape = 'Coupling'"), top, "cycle", *by_size)
-    held = P.pairs_within(shaped.where(F.col("id").isin([r.id for r in rows])), P.held_references(model.edges, model.types)).withColumn("weight", F.col("forward") + F.col("back"))
-    turn = F.row_number().over(W.partitionBy("id").orderBy(F.desc("weight"), "first", "second"))
+    held = P.pairs_within(shaped.where(F.get("members", F.lit(0)).isin([r.members[0] for r in rows])), P.held_references(model.edges, model.types)).withColumn("weight", F.col("forward") + F.col("back"))
+    turn = F.row_number().over(W.partitionBy("cycle").orderBy(F.desc("weight"), "first", "second"))
     pairs: dict[str, list[str]] = {}
-    for p in held.withColumn("turn", turn).where(F.col("turn") <= PAIRS).orderBy("id", "turn").collect() if rows else []:
-        pairs.setdefault(p.id, []).append(f"  {p.first} <-> {p.second}: {plural(p.weight, 'held reference')}")
+    for p in held.withColumn("turn", turn).where(F.col("turn") <= PAIRS).orderBy("cycle", "turn").collect() if rows else []:
+        pairs.setdefault(p.cycle, []).append(f"  {p.first} <-> {p.second}: {plural(p.weight, 'held reference')}")
     namespaces = []
     for r in rows:
-        shown = pairs.get(r.id, [])
+        shown = pairs.get(r.members[0], [])
         namespaces += [f"{plural(r['size'], 'namespace')}: {some(r.members, NAMESPACES, ' <-> ')}", loop(r), *shown]
         if r.mutual > len(shown):
             namespaces.append(f"  {r.mutual - len(shown)} more pairs that hold each other")

@@ -59,3 +59,17 @@ def test_tangle_shapes(edges, tangles, monkeypatch):
     assert {r.members[0]: (r["size"], r["shape"]) for r in found.collect()} == {"t0000": (RING, "Entangled"), "u1": (3, "Hierarchy")}
     assert found.columns == [*tangles.columns, "shape"]
     assert all(longest(df) < 200 for df in held)
+
+
+def test_namespace_cycles(spark):
+    """A ring below one namespace, whose shape is a folder layout, and one of namespaces that hold each other."""
+    names = {0: ("p", "app"), **{i: ("p", f"app.n{i:04}") for i in range(1, RING)}}
+    types = spark.createDataFrame([(p, n) for p, n in names.values()] + [("q", "x"), ("p", "y")], "project string, namespace string")
+    ring = [names[i][1] for i in range(RING)]
+    found = spark.createDataFrame([("|".join(ring), RING, ring), ("x|y", 2, ["x", "y"])], "id string, size int, members array<string>")
+    held = spark.createDataFrame([("x", "y", 2), ("y", "x", 1), ("app", "app.n0001", 1), ("app.n0001", "app", 1)], "a string, b string, held long")
+    pairs = P.pairs_within(found, held)
+    assert longest(pairs) < 200
+    assert sorted((r.first, r.second, r.siblings) for r in pairs.collect()) == [("app", "app.n0001", False), ("x", "y", True)]
+    shapes = {r.members[0]: (r["shape"], r.anchor, r.projects, r.mutual, r.siblings) for r in P.cycle_shapes(found, types, held).collect()}
+    assert shapes == {"app": ("FolderLayout", "app", ["p"], 1, 0), "x": ("Coupling", None, ["p", "q"], 1, 1)}
