@@ -7,11 +7,28 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Threads that start the shuffles, and those that start the broadcasts, of a driver's plans.
+STARTERS = 32
+
+
+def few_threads(spark: SparkSession) -> None:
+    """Bounds the driver's threads that start shuffles and broadcasts, if no plan has run before.
+
+    Spark makes a new one for each exchange, up to 1,024 and 128, and keeps it for a minute; with its stack and what it
+    allocates each takes some 0.7 MB beside the heap. They only submit jobs, so with fewer the others wait their turn. The
+    settings are static for a session's own configuration, but read when the first exchange starts.
+    """
+    conf = spark._jsparkSession.sessionState().conf()
+    for pool in ("shuffleExchange", "broadcastExchange"):
+        conf.setConfString(f"spark.sql.{pool}.maxThreadThreshold", str(STARTERS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset in local mode (tests).
 
     On a cluster without that setting there is no such folder, which is an error.
     """
+    few_threads(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):

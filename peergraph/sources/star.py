@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import few_threads
+
 #: Parts above this size are not declared.
 DECLARED = 45
 
@@ -93,6 +95,7 @@ def files(spark: SparkSession, sf_dir: str) -> tuple:
 
 def facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The fact tables of a star schema in sf_dir; lists are arrays."""
+    few_threads(spark)
     found = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem")}
     for name, text in FACTS.items():
         used = {t: df for t, df in found.items() if "{" + t + "}" in text}
