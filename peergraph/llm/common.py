@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir  # noqa: F401
+from ..session import cut, few_threads, shared_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    few_threads(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
