@@ -64,28 +64,34 @@ def _rank_json(path: str) -> str:
     return json.dumps(slots, separators=(",", ":"))
 
 
+#: The basic plane without surrogates, and its first 128 characters.
+BASIC, ASCII = ((0, 0xD800), (0xE000, 0x10000)), ((0, 0x80),)
+
+
 @lru_cache(maxsize=64)
-def _ranges(of: str) -> str:
-    """The basic plane's characters of a class of the regex library, as ranges for a class of the standard library."""
+def _ranges(of: str, planes: tuple[tuple[int, int], ...]) -> str:
+    """Those characters of a class of the regex library, as ranges for a class of the standard library."""
     import regex
 
     found = []
-    for plane in ((0, 0xD800), (0xE000, 0x10000)):
+    for plane in planes:
         for m in regex.finditer(of + "+", "".join(map(chr, range(*plane)))):
             found.append(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}")
     return "".join(found)
 
 
-def _basic(pattern: str) -> re.Pattern | None:
-    """The pattern for the standard library, which is faster, right for texts of the basic plane; None if it has more than classes like \\p{L}, \\s and \\S."""
+def _basic(pattern: str, planes: tuple[tuple[int, int], ...] = BASIC) -> re.Pattern | None:
+    """The pattern for the standard library, which is faster, right for texts of those characters; None if it has more than classes like \\p{L}, \\s and \\S, or one without such characters."""
     out, inside, at = "", False, 0
     while at < len(pattern):
         step = re.compile(r"\\p\{\w+\}|\\.|.", re.S).match(pattern, at)[0]
         at += len(step)
         if step.startswith("\\p{") or step == "\\s":
-            out += _ranges(step) if inside else f"[{_ranges(step)}]"
+            if not (among := _ranges(step, planes)):
+                return None
+            out += among if inside else f"[{among}]"
         elif step == "\\S" and not inside:
-            out += f"[^{_ranges(chr(92) + 's')}]"
+            out += f"[^{_ranges(chr(92) + 's', planes)}]"
         elif step[0] == "\\" and step[1].isalnum():
             return None
         else:
@@ -105,7 +111,8 @@ def finder(pattern: str):
     if basic is None:
         return full
     quick, beyond = basic.findall, re.compile("[\U00010000-\U0010ffff]").search
-    return lambda text: full(text) if beyond(text) else quick(text)
+    plain = (_basic(pattern, ASCII) or basic).findall  # small classes are matched faster, and whether a text is ASCII is known
+    return lambda text: plain(text) if text.isascii() else full(text) if beyond(text) else quick(text)
 
 
 def _let(value: Column, body) -> Column:
@@ -213,10 +220,12 @@ def frequent(documents: DataFrame, path: str, pattern: str, column: str = "text"
         words: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
-            seen: Counter[str] = Counter()
+            seen = {" " + word: n for word, n in words.items() if word.isalpha()}
+            get = seen.get
             for word, n in words.items():
-                for piece in (" " + word,) if word.isalpha() else find(" " + word):
-                    seen[piece] += n
+                if not word.isalpha():
+                    for piece in find(" " + word):
+                        seen[piece] = get(piece, 0) + n
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
 

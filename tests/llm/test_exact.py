@@ -51,6 +51,20 @@ def test_bpe_decodes_in_the_same_stage(odd):
     assert rows and all(bytes(r.back).decode() == (r.text or "") for r in rows)
 
 
+def test_ascii_texts_have_a_pattern_of_their_own(docs):
+    import regex
+
+    whole = regex.compile(P.PATTERN).findall
+    some = [chr(a) + chr(b) for a in range(128) for b in range(128)] + [" ".join(map(chr, range(128))), *[t for _, t in texts(docs) if t.isascii()]]
+    plain, find = bpe._basic(P.PATTERN, bpe.ASCII), bpe.finder(P.PATTERN)
+    assert len(plain.pattern) < 300 < len(bpe._basic(P.PATTERN).pattern)
+    assert all(plain.findall(t) == find(t) == whole(t) for t in some)
+    assert all(find(t) == whole(t) for _, t, _ in ODD if t)
+    # a class without such characters can't be written for them
+    assert bpe._basic(r"[^\p{Han}]+|\p{Han}", bpe.ASCII) is None
+    assert bpe.finder(r"[^\p{Han}]+|\p{Han}")("a]b") == ["a]b"]
+
+
 def base_spans(text):
     import re
 
