@@ -7,8 +7,9 @@ are linked to the least of them, not in all pairs. Where two of them can be furt
 radius, or none), each pair of the bounded bucket is verified instead.
 
 ``keep_first`` (the pipeline's stage) has a setting of its own: near copies are texts whose sets of 5-word shingles have a
-Jaccard similarity of 0.8 or more. Fingerprints of such texts differ by some 10 of 64 bits, which no ball reaches, so
-there minima of the shingles' hashes choose the pairs (bands of them meet), and each pair is verified on the sets themselves.
+Jaccard similarity of 0.8 or more. Each set has a fingerprint, balls of half the radius choose pairs of sets as above, and each
+pair is verified on the sets themselves. Fingerprints of near copies may differ by some 10 of 64 bits, which no ball reaches,
+so bands of minima of the shingles' hashes add the pairs beyond the radius; they are verified alike.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows each get
 a row; a null doc_id is kept and never names a component unless all of its component's are null.
@@ -135,13 +136,13 @@ def components(documents: DataFrame, id_column: str = "doc_id", column: str = "t
 
 
 def shingle_sets(documents: DataFrame, column: str = "text", words: int = 5, seed: int = 42, sets: bool = False, text: bool = False) -> DataFrame:
-    """documents with set_key (of the set of shingles), n_shingles and either band_keys or, with ``sets``, the hashes themselves and their occupancy map.
+    """documents with set_key (of the set of shingles), n_shingles and either band_keys and the set's fingerprint or, with ``sets``, the hashes themselves and their occupancy map.
 
-    The text goes unless ``text``. Two texts of the same set have the same key; the set of an empty text has 0 shingles and no bands.
+    The text goes unless ``text``. Two texts of the same set have the same key; the set of an empty text has 0 shingles, no bands and fingerprint zero.
     """
     common.small_batches(documents)
     made = [T.StructField("set_key", T.LongType()), T.StructField("n_shingles", T.IntegerType()), T.StructField("shingles" if sets else "band_keys", T.ArrayType(T.LongType()))]
-    made += [T.StructField("occupied", T.ArrayType(T.LongType()))] if sets else []
+    made += [T.StructField("occupied", T.ArrayType(T.LongType())) if sets else T.StructField("fingerprint", T.LongType())]
     kept = [f for f in documents.schema.fields if (text or f.name != column) and f.name not in [m.name for m in made]]
     read = [f.name for f in kept] + ([] if text else [column])
 
@@ -158,7 +159,9 @@ def shingle_sets(documents: DataFrame, column: str = "text", words: int = 5, see
             ends = np.concatenate([[0], np.cumsum([len(s) for s in lists])])
             values = np.concatenate(lists).astype(np.uint64).view(np.int64)
             columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))]
-            if sets:
+            if not sets:
+                columns.append(pa.array(_of_sets(found, sizes).view("<i8")))
+            else:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * MAP, pa.int32()), pa.array(_occupied(found, sizes).ravel())))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *columns], [*[f.name for f in kept], *[m.name for m in made]])
 
@@ -178,15 +181,33 @@ def _occupied(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<i8")
 
 
+def _some(sets: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers of sets that aren't empty, their hashes, and where each begins: some AT_ONCE hashes at a time."""
+    full = np.flatnonzero(sizes)
+    for some in np.split(full, np.flatnonzero(np.diff(np.cumsum(sizes[full]) // AT_ONCE)) + 1):
+        if len(some):
+            yield some, np.concatenate([sets[i] for i in some]), np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+
+
+def _of_sets(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Each set's fingerprint."""
+    out = np.zeros(len(sets), "<u8")
+    for some, hashes, starts in _some(sets, sizes):
+        ones = np.zeros((len(some), BITS), np.int64)
+        edges = np.append(starts, len(hashes))
+        for begin in range(0, len(hashes), AT_ONCE):  # a set may be longer than what is unpacked at once
+            end = min(begin + AT_ONCE, len(hashes))
+            first, last = np.searchsorted(edges, begin, "right") - 1, np.searchsorted(edges, end, "left")
+            bits = np.unpackbits(hashes[begin:end].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[first:last] += np.add.reduceat(bits, np.maximum(edges[first:last] - begin, 0), axis=0, dtype=np.int32)
+        out[some] = _of_counts(ones, sizes[some])
+    return out
+
+
 def _bands(sets: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
     """Keys of the BANDS bands of ROWS minima of each set."""
     out = [np.empty(0, np.uint64)] * len(sets)
-    full = np.flatnonzero(sizes)
-    for some in np.split(full, np.flatnonzero(np.diff(np.cumsum(sizes[full]) // AT_ONCE)) + 1):
-        if not len(some):
-            continue
-        hashes = np.concatenate([sets[i] for i in some])
-        starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+    for some, hashes, starts in _some(sets, sizes):
         keys = np.zeros((BANDS, len(some)), np.uint64)
         work = np.empty_like(hashes)
         for k in range(BANDS * ROWS):
@@ -220,19 +241,33 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def within_radius(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (a, b) of set keys, a < b, that connect all sets whose fingerprints are at most radius bits apart."""
+    each = prints.select("set_key", "fingerprint").distinct()
+    held = each.groupBy("fingerprint").agg(F.min("set_key").alias("least"))
+    same = each.join(held, "fingerprint").where("set_key <> least").select(F.col("least").alias("a"), F.col("set_key").alias("b"))
+    met = links(held, radius)
+    for k in "ab":
+        met = met.join(held.select(F.col("fingerprint").alias(k), F.col("least").alias(f"of_{k}")), k)
+    return _ordered(same.unionByName(met.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
+
+
 def near_components(documents: DataFrame, prints: DataFrame, id_column: str, column: str, words: int) -> DataFrame:
-    """(set_key, root) of the set keys that have a near copy; prints are documents' shingle sets with bands.
+    """(set_key, root) of the set keys that have a near copy; prints are documents' shingle sets with bands and fingerprints.
 
-    A bucket's members are held against its least one first. What is then in another component than that is held against
+    Pairs of sets whose fingerprints are within the radius come first: each set's with its least partner, then those that
+    join components. Bands add what lies beyond the radius: a bucket's members are held against its least one first. What is then in another component than that is held against
     all sets of other components that can be near copies by their rarest shingles, so every pair that shares a bucket is
     compared, ruled out by its counts, or linked already.
     """
+    close = common.cut(within_radius(prints))
     bands = prints.dropDuplicates(["set_key"]).select("set_key", F.explode("band_keys").alias("band"))
     # the least of a bucket is combined before the shuffle, so a bucket may hold any share of the sets
     met = bands.groupBy("band").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most")).where("least < most")
     wanted = common.cut(bands.join(met.select("band"), "band"))
 
-    ids = prints.join(wanted.select("set_key").distinct(), "set_key", "left_semi").groupBy("set_key").agg(F.min(id_column).alias(id_column))
+    asked = wanted.select("set_key").unionByName(close.select(F.explode(F.array("a", "b")).alias("set_key"))).distinct()
+    ids = prints.join(asked, "set_key", "left_semi").groupBy("set_key").agg(F.min(id_column).alias(id_column))
     thin = documents.select(id_column, column)
     texts = thin.join(ids.select(id_column).distinct(), id_column, "left_semi").unionByName(thin.where(F.col(id_column).isNull()))
     sets = common.cut(shingle_sets(texts, column, words, sets=True).select("set_key", "n_shingles", "shingles", "occupied").dropDuplicates(["set_key"]))
@@ -249,8 +284,9 @@ def near_components(documents: DataFrame, prints: DataFrame, id_column: str, col
     members = common.cut(members.join(centres, "band"))
     stars = _ordered(members.where((F.col("set_key") != F.col("centre")) & _may_be_alike("n", "shared", "n_c", "shared_c")).select(F.col("centre").alias("a"), F.col("set_key").alias("b")))
 
-    links = common.cut(_alike(stars, sets))
-    roots = common.cut(connected_components(links).select(F.col("node").alias("set_key"), "root"))
+    closest = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = common.cut(_alike(_ordered(closest.unionByName(stars)), sets))
+    roots = common.cut(connected_components(found).select(F.col("node").alias("set_key"), "root"))
     placed = members.select("band", "set_key", "n", "shared", "centre").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     centre_roots = placed.where("set_key = centre").select("band", F.col("root").alias("centre_root"))
     apart = common.cut(placed.join(centre_roots, "band").where("root <> centre_root").select("band", "set_key"))
@@ -265,8 +301,12 @@ def near_components(documents: DataFrame, prints: DataFrame, id_column: str, col
     # the first bound is cheap and rules most pairs out before the second is looked at
     near = _may_be_alike("n_a", "left_a", "n_b", "left_b") & _may_be_alike("n_a", F.col("n_a") - _lacking("occupied_a", "occupied_b"), "n_b", F.col("n_b") - _lacking("occupied_b", "occupied_a"))
     across = a.join(b, "s").where((~F.col("stray_b") | (F.col("set_key_a") < F.col("set_key_b"))) & (F.col("root_a") != F.col("root_b")) & near)
-    more = common.cut(_alike(_ordered(across.select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b"))), sets))
-    return connected_components(links.unionByName(more)).select(F.col("node").alias("set_key"), "root") if more.limit(1).count() else roots
+    left = close
+    for k in "ab":
+        left = left.join(roots.select(F.col("set_key").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
+    left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    more = common.cut(_alike(_ordered(left.unionByName(across.select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b")))), sets))
+    return connected_components(found.unionByName(more)).select(F.col("node").alias("set_key"), "root") if more.limit(1).count() else roots
 
 
 def keep_first(documents: DataFrame, id_column: str = "doc_id", column: str = "text", words: int = 5) -> DataFrame:

@@ -364,6 +364,40 @@ def test_near_copies_go(spark):
     assert sorted(r.doc_id for r in found.collect()) == [i for i in range(90) if i % 3 != 1]
 
 
+def test_near_copies_meet_by_fingerprints(spark, docs, monkeypatch):
+    """Without any band, fingerprints alone find the near copies within the radius."""
+    rows = [(2 * i, t) for i, t in texts(docs)[:100]] + [(2 * i + 1, f"{t} end") for i, t in texts(docs)[:100]]
+    sets = {}
+    for i, t in rows:
+        words = t.encode().lower().split()
+        sets[i] = {b" ".join(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else set()
+
+    def of(found):
+        from xxhash import xxh64_intdigest
+
+        bits = [sum(xxh64_intdigest(s, 42) >> b & 1 for s in found) * 2 > len(found) for b in range(64)]
+        return sum(1 << b for b, one in enumerate(bits) if one)
+
+    prints = {i: of(s) for i, s in sets.items()}
+    made = simhash.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.fingerprint % 2**64 for r in made} == prints
+    near = {(i, i + 1) for i in sets if i % 2 == 0 and (prints[i] ^ prints[i + 1]).bit_count() <= 2 and 5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1])}
+    assert len(near) > 5
+    monkeypatch.setattr(simhash, "_bands", lambda sets, sizes: [np.empty(0, np.uint64)] * len(sets))
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not kept & {b for _, b in near}
+
+
+def test_fingerprints_of_long_sets(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 63, n, np.uint64) for n in (3, 0, 40, 7, 1, 100, 2)]
+    sizes = np.array([len(s) for s in sets])
+    whole = simhash._of_sets(sets, sizes)
+    monkeypatch.setattr(simhash, "AT_ONCE", 16)
+    assert (simhash._of_sets(sets, sizes) == whole).all()
+    assert whole.tolist() == [int(simhash._of_counts(simhash._counts(s.tolist())[None], np.array([len(s)]))[0]) if len(s) else 0 for s in sets]
+
+
 def test_near_copies_by_brute_force(spark, docs):
     def edited(text, at):
         words = text.split()
