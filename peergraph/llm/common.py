@@ -59,6 +59,12 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets the driver notice that nothing refers to earlier shuffles any more, whose files it then deletes; else they stay until its heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, which is computed once however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -261,6 +261,7 @@ def near_components(documents: DataFrame, prints: DataFrame, id_column: str, col
     compared, ruled out by its counts, or linked already.
     """
     close = common.cut(within_radius(prints))
+    common.drop_shuffles(documents.sparkSession)
     bands = prints.dropDuplicates(["set_key"]).select("set_key", F.explode("band_keys").alias("band"))
     # the least of a bucket is combined before the shuffle, so a bucket may hold any share of the sets
     met = bands.groupBy("band").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most")).where("least < most")
@@ -277,6 +278,7 @@ def near_components(documents: DataFrame, prints: DataFrame, id_column: str, col
     often = each.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
     rank = F.shiftleft(F.least("k", F.lit(32767)), 48).bitwiseOR(F.shiftrightunsigned("s", 16))
     ranked = common.cut(each.join(often, "s").groupBy("set_key", "n").agg(F.array_sort(F.collect_list(rank)).alias("rare")))
+    common.drop_shuffles(documents.sparkSession)
     sized = ranked.select("set_key", "n", F.size("rare").alias("shared"))
     members = common.cut(wanted.join(sized, "set_key").where(_may_be_alike("n", "shared", "shared", "shared")))
     # the least of those that are left, and all others of its bucket
