@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Threads that start the shuffles, and those that start the broadcasts, of a driver's plans.
 STARTERS = 32
+#: Whether files of a plan's shuffles are deleted when it has run.
+DROP_FILES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def few_threads(spark: SparkSession) -> None:
@@ -40,6 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages reread it from the shared folder instead of recomputing what made it."""
+    """Reliable checkpoint: later stages reread it from the shared folder instead of recomputing what made it.
+
+    So nothing reads the shuffles that made it again, and their files go at once; else they stay until the driver happens to
+    collect its garbage. The setting is read when a plan is made, so it is set for this one plan only (a plan that another
+    thread makes meanwhile would lose its files as well, and make them again if they are asked for).
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    conf = df.sparkSession.conf
+    before = conf.get(DROP_FILES, None)
+    conf.set(DROP_FILES, "true")
+    try:
+        own = df.select("*")
+    finally:
+        conf.unset(DROP_FILES) if before is None else conf.set(DROP_FILES, before)
+    return own.checkpoint()

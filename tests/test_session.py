@@ -2,8 +2,13 @@
 
 import subprocess
 import sys
+import time
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from peergraph import session
+
 MANY = """
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -27,3 +32,23 @@ def test_few_threads_start_shuffles():
     threads, most = map(int, said["THREADS"].split())
     assert said["ROWS"] == "150"
     assert 0 < threads <= most
+
+
+def test_files_of_shuffles_go_with_a_cut(spark):
+    """The files of what made a checkpoint go while the plan is still referred to, and a setting of the session's own stays."""
+    folders = [Path(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def files():
+        return {f.name for d in folders for f in d.rglob("shuffle_*")}
+
+    before = files()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "k")
+    assert spark.conf.get(session.DROP_FILES) == "false"
+    found = session.cut(rows)
+    assert spark.conf.get(session.DROP_FILES) == "false"
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.collect())) == [(k, 143 if k < 6 else 142) for k in range(7)]
