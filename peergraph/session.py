@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,6 +43,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether the driver's heap is the executors' too, and so grows with the data."""
+    return spark.sparkContext._jsc.sc().isLocal()
+
+
+def give_back(spark: SparkSession) -> None:
+    """Returns memory that the driver's JVM has no use for to the system.
+
+    Plans leave much garbage: the heap is collected once it has grown past half of its bound, else it grows to its bound
+    whatever is in use. Beside it the C library keeps what compilers and threads have freed, in an arena for each of up to 8
+    threads a core; it is asked to let go of that (Java has a command for it since 17.0.9, elsewhere nothing happens).
+    """
+    java = spark._jvm.java.lang
+    heap = java.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        java.System.gc()
+    with contextlib.suppress(Py4JJavaError):
+        server = java.management.ManagementFactory.getPlatformMBeanServer()
+        ask = next(m for m in java.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(java.Object, 4)
+        args[0], args[1] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        ask.invoke(server, args)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages reread it from the shared folder instead of recomputing what made it.
 
@@ -56,4 +82,7 @@ def cut(df: DataFrame) -> DataFrame:
         own = df.select("*")
     finally:
         conf.unset(DROP_FILES) if before is None else conf.set(DROP_FILES, before)
-    return own.checkpoint()
+    found = own.checkpoint()
+    if not is_local(df.sparkSession):
+        give_back(df.sparkSession)
+    return found

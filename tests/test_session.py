@@ -52,3 +52,38 @@ def test_files_of_shuffles_go_with_a_cut(spark):
         time.sleep(0.2)
     assert not files() - before
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.collect())) == [(k, 143 if k < 6 else 142) for k in range(7)]
+
+
+GROWN = """
+import time
+from pyspark.sql import SparkSession
+from peergraph import session
+
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.driver.memory", "512m").getOrCreate()
+heap = spark._jvm.java.lang.Runtime.getRuntime()
+held = []
+while 2 * heap.totalMemory() <= heap.maxMemory():
+    held.append(spark._jvm.java.nio.ByteBuffer.allocate(16 << 20))
+del held
+for _ in range(20):  # the JVM lets go of what Python held a little later
+    session.give_back(spark)
+    if 2 * heap.totalMemory() <= heap.maxMemory():
+        break
+    time.sleep(0.2)
+print("SHARE", heap.totalMemory() / heap.maxMemory())
+"""
+
+
+def test_heap_that_has_grown_shrinks():
+    said = subprocess.run([sys.executable, "-c", GROWN], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=300).stdout
+    assert 0 < float(said.split("SHARE", 1)[1]) <= 0.5
+
+
+def test_cuts_give_memory_back_on_a_cluster(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(session, "give_back", asked.append)
+    session.cut(spark.range(3))
+    assert not asked  # the heap of local mode is the executors' too
+    monkeypatch.setattr(session, "is_local", lambda spark: False)
+    session.cut(spark.range(3))
+    assert asked == [spark]
