@@ -9,13 +9,18 @@ from ..functions.scalars import instability
 
 
 def edges(type_refs: DataFrame) -> DataFrame:
-    """References by (from, to): weight, kinds in order, and the first known site (null if none is known)."""
+    """References by (from, to): weight, kinds in order, the first known site (null if none is known), and counts, how many there are of each kind.
+
+    They are counted by kind first, so that no later table needs the references themselves.
+    """
     known = (F.col("file") != "") & (F.col("line") > 0)
     site = F.min(F.when(known, F.struct("file", "line")))
-    grouped = type_refs.groupBy("from_type", "to_type").agg(
-        F.count("*").alias("weight"), F.array_sort(F.collect_set("kind")).alias("kinds"), site.alias("site"), F.count_if(F.col("kind") == 3).alias("fields")
+    by_kind = type_refs.groupBy("from_type", "to_type", "kind").agg(F.count("*").alias("n"), site.alias("site"))
+    fields = F.sum(F.when(F.col("kind") == 3, F.col("n")).otherwise(0))
+    grouped = by_kind.groupBy("from_type", "to_type").agg(
+        F.sum("n").alias("weight"), F.min("site").alias("site"), fields.alias("fields"), F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("counts")
     )
-    return grouped
+    return grouped.withColumn("kinds", F.array_compact(F.col("counts.kind")))
 
 
 def declared(all_edges: DataFrame, types: DataFrame) -> DataFrame:

@@ -119,8 +119,10 @@ def with_id(rows: DataFrame, tangles: DataFrame) -> DataFrame:
     return rows.join(ids, "tangle").select("id", *[c for c in rows.columns if c != "tangle"])
 
 
-def tangle_kinds(inner: DataFrame, type_refs: DataFrame) -> DataFrame:
-    """(tangle, kind, references) of the references within each tangle."""
+def tangle_kinds(inner: DataFrame, type_refs: DataFrame | None = None) -> DataFrame:
+    """(tangle, kind, references) of the references within each tangle, as its edges count them; of type_refs, if these are given."""
+    if type_refs is None:
+        return inner.select("tangle", F.inline("counts")).groupBy("tangle", "kind").agg(F.sum("n").alias("references"))
     return type_refs.join(inner.select("tangle", "from_type", "to_type"), ["from_type", "to_type"]).groupBy("tangle", "kind").agg(F.count("*").alias("references"))
 
 

@@ -161,7 +161,7 @@ add("g10_project_layers", lambda m: m.project_layers, "SELECT node, component, l
 add("g11_project_groups", lambda m: m.project_groups.select(joined("projects").alias("projects"), joined("depends_on").alias("depends_on"), "layer", "is_cycle"), "SELECT array_to_string(projects, ';') AS projects, array_to_string(list_sort(list_filter(all_outs, lambda x: NOT list_contains(projects, x))), ';') AS depends_on, layer, cycle IS NOT NULL AS is_cycle FROM boxed")
 add("g12_depth", lambda m: V.depth_and_width(m.project_groups), "SELECT max(layer) + 1 AS depth, max(layer) AS top_layer, max(boxes) AS widest_layer FROM (SELECT layer, count(*) AS boxes FROM boxed GROUP BY 1)")
 add("g13_dependents", lambda m: m.project_edges.groupBy(F.col("b").alias("project")).agg(joined(F.array_sort(F.collect_set("a"))).alias("dependents")), "SELECT b AS project, string_agg(a, ';' ORDER BY a) AS dependents FROM project_edges GROUP BY 1")
-add("a16_tangle_kinds", lambda m: P.with_id(P.tangle_kinds(P.tangle_edges(m.tangles, m.edges), m.type_refs), m.tangles))
+add("a16_tangle_kinds", lambda m: P.with_id(P.tangle_kinds(P.tangle_edges(m.tangles, m.edges)), m.tangles))
 add("a16_heaviest_pairs", lambda m: P.with_id(P.heaviest_pairs(P.tangle_edges(m.tangles, m.edges)), m.tangles))
 add("a17_project_links", lambda m: P.project_links(m.project_cycles.select(F.explode("members").alias("node"), F.col("id").alias("component")), m.types, m.edges).drop("component"), "SELECT s.fp AS a, s.tp AS b, sum(s.weight)::BIGINT AS weight, first(s.from_type ORDER BY s.weight DESC, s.from_type, s.to_type) AS example_from, first(s.to_type ORDER BY s.weight DESC, s.from_type, s.to_type) AS example_to FROM sides s JOIN project_scc x ON s.fp = x.node JOIN project_scc y ON s.tp = y.node AND x.component = y.component WHERE s.fp <> s.tp GROUP BY 1, 2")
 

@@ -160,7 +160,7 @@ def cycle_lines(model: Model) -> dict[str, list[str]]:
     kinds: dict[str, list[str]] = {}
     heaviest: dict[str, str] = {}
     if knots:
-        for x in P.tangle_kinds(inner, model.type_refs).orderBy("tangle", F.desc("references"), "kind").collect():
+        for x in P.tangle_kinds(inner).orderBy("tangle", F.desc("references"), "kind").collect():
             kinds.setdefault(x.tangle, []).append(f"{x['references']:,} {EDGE_KINDS[x.kind]}")
         heaviest = {x.tangle: f"most between {short(x.first)} and {short(x.second)} ({x.weight:,})" for x in P.heaviest_pairs(inner).collect()}
     tangles = []

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from peergraph.operators import graph as G
 from peergraph.operators import projects as P
 from peergraph.plans.model import Model
+from peergraph.plans.queries import QUERIES
 
 RING = 400
 
@@ -49,6 +50,30 @@ def test_tangle_kinds(type_refs, edges, tangles):
     assert sorted(map(tuple, P.with_id(found, tangles).collect())) == sorted([(ids["t0000"], 3, RING // 2), (ids["t0000"], 4, RING // 2), (ids["t0000"], 5, 3), (ids["u1"], 1, 3), (ids["u1"], 8, 1)])
 
 
+def test_tangle_kinds_by_edges(spark, type_refs, tangles, monkeypatch):
+    """The query takes the counts from the edges, which are checkpointed, and doesn't make the references again."""
+    sites = type_refs.withColumns({"file": F.when(F.col("kind") > 3, "b.cs").otherwise("a.cs"), "line": F.col("kind") - 1})
+    more = spark.createDataFrame([("u1", "u2", None, "", 0), ("u1", "u2", 1, "0.cs", 7)], sites.schema)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for batch in rows:
+            read.add(len(batch))
+            yield batch
+
+    refs = sites.unionByName(more).mapInPandas(seen, sites.schema)
+    model = Model(dict.fromkeys(("projects", "types", "members", "member_refs")) | {"type_refs": refs})
+    model.types, model.tangles = sites.select(F.explode(F.array("from_type", "to_type")).alias("type_id")).distinct(), tangles
+    monkeypatch.setattr("peergraph.plans.queries.model", lambda *_: model)
+    ids = {r.members[0]: r.id for r in tangles.collect()}
+    want = [(ids["t0000"], 3, RING // 2), (ids["t0000"], 4, RING // 2), (ids["t0000"], 5, 3), (ids["u1"], 1, 4), (ids["u1"], 8, 1), (ids["u1"], None, 1)]
+    assert sorted(map(tuple, QUERIES["a16_tangle_kinds"](spark, "").collect()), key=str) == sorted(want, key=str)
+    assert read.value == RING + 3 + 5 + 2
+    edge = model.all_edges.where("from_type = 'u1' and to_type = 'u2'").select("weight", "kinds", "fields", "site").first()
+    assert (edge.weight, edge.kinds, edge.fields, tuple(edge.site)) == (3, [1], 0, ("0.cs", 7))
+    assert model.all_edges.agg(F.sum("weight"), F.sum("fields")).first()[:] == (RING + 3 + 5 + 2, RING // 2)
+
+
 def test_tangle_shapes(edges, tangles, monkeypatch):
     model = Model(dict.fromkeys(("projects", "types", "members", "type_refs", "member_refs")))
     model.tangles, model.edges = tangles, edges
