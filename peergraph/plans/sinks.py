@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import EDGE_KINDS
 from ..operators import projects as P
+from ..session import cut
 
 # Columns of the exported tables.
 TYPE_COLUMNS = (
@@ -88,24 +89,30 @@ def document(model) -> DataFrame:
 
     Blocks: tool, policy, coverage, projects (coupling null where nothing was measured), types with members, edges,
     namespaceCycles, projectCycles, typeTangles, externalDependencies, boundary, findings.
+
+    Blocks that take joins or counts are cut one group at a time: they have few rows, and a driver that plans and compiles
+    all blocks at once needs memory for all. What has a row for each type, edge or finding is left to the returned plan.
     """
     one = model.types.sparkSession.range(1)
 
     def block(name: str, rows: DataFrame, key: Column, fields: dict[str, Column | str]) -> DataFrame:
         return rows.select(F.lit(name).alias("block"), key.alias("id"), F.to_json(F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"}).alias("json"))
 
-    found = json_lines(model.full, model.members, model.all_edges)
-    found = found.unionByName(block("tool", one, F.lit("tool"), {"name": F.lit("peergraph"), "schemaVersion": F.lit("1.0")}))
-    found = found.unionByName(block("policy", one, F.lit("policy"), {_camel("".join(w.capitalize() for w in n.split("_"))): F.lit(float(v)) for n, v in model.policy.values()}))
-    found = found.unionByName(block("coverage", model.not_analysed, F.concat_ws("|", "what", "name"), {"what": "what", "name": "name", "count": "count"}))
+    policy = {_camel("".join(w.capitalize() for w in n.split("_"))): F.lit(float(v)) for n, v in model.policy.values()}
+    fixed = block("tool", one, F.lit("tool"), {"name": F.lit("peergraph"), "schemaVersion": F.lit("1.0")}).unionByName(block("policy", one, F.lit("policy"), policy))
+    coverage = cut(block("coverage", model.not_analysed, F.concat_ws("|", "what", "name"), {"what": "what", "name": "name", "count": "count"}))
     alone = P.unreferenced(model.projects, model.couplings, model.classified).withColumn("alone", F.lit(True))
     projects = model.projects.join(model.couplings.withColumn("measured", F.lit(True)), "project", "left").join(alone, "project", "left")
     coupling = F.when(F.col("measured"), F.struct(F.col("ca").alias("typesElsewhereReachingIn"), F.col("ce").alias("typesHereReachingOut"), F.col("abstract_types").alias("abstractTypes"), F.col("total_types").alias("totalTypes"), "abstractness", "instability", "distance", "zone"))
-    found = found.unionByName(block("projects", projects, F.col("project"), {"name": "project", "hasEntryPoint": "has_entry_point", "isLibrary": "is_library", "isUnreferenced": F.coalesce("alone", F.lit(False)), "coupling": coupling}))
+    projects = cut(block("projects", projects, F.col("project"), {"name": "project", "hasEntryPoint": "has_entry_point", "isLibrary": "is_library", "isUnreferenced": F.coalesce("alone", F.lit(False)), "coupling": coupling}))
+    external = cut(block("externalDependencies", model.dependencies, F.col("namespace"), {"namespace": "namespace", "typesTouching": "types_touching"}))
     ring = {"id": "id", "size": "size", "members": "members", "path": "path", "pathCoversEveryMember": "path_covers_every_member"}
-    found = found.unionByName(block("namespaceCycles", model.namespace_cycles, F.col("id"), ring | {"shape": "shape", "projects": "projects", "anchor": "anchor", "heldPairs": "mutual"}))
-    found = found.unionByName(block("projectCycles", model.project_cycles, F.col("id"), ring))
-    found = found.unionByName(block("typeTangles", model.tangle_shapes, F.col("id"), ring | {"shape": "shape"}))
-    found = found.unionByName(block("externalDependencies", model.dependencies, F.col("namespace"), {"namespace": "namespace", "typesTouching": "types_touching"}))
-    found = found.unionByName(block("boundary", P.contact_points(model.classified), F.col("type_id"), {"type": "type_id", "direction": "direction"}))
-    return found.unionByName(block("findings", model.findings, F.col("finding_key"), {"key": "finding_key", "kind": "kind", "subject": "subject", "type": "type_id", "receipts": "receipts", "qualifiers": "qualifiers"}))
+    namespaces = block("namespaceCycles", model.namespace_cycles, F.col("id"), ring | {"shape": "shape", "projects": "projects", "anchor": "anchor", "heldPairs": "mutual"})
+    cycles = block("projectCycles", model.project_cycles, F.col("id"), ring)
+    tangles = cut(block("typeTangles", model.tangle_shapes, F.col("id"), ring | {"shape": "shape"}))
+    boundary = block("boundary", P.contact_points(model.classified), F.col("type_id"), {"type": "type_id", "direction": "direction"})
+    findings = block("findings", model.findings, F.col("finding_key"), {"key": "finding_key", "kind": "kind", "subject": "subject", "type": "type_id", "receipts": "receipts", "qualifiers": "qualifiers"})
+    found = json_lines(model.full, model.members, model.all_edges)
+    for rows in (fixed, coverage, projects, namespaces, cycles, tangles, external, boundary, findings):
+        found = found.unionByName(rows)
+    return found

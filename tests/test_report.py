@@ -40,6 +40,15 @@ def test_the_document_has_all_blocks(spark):
     assert sum(len(t.get("members", [])) for t in blocks["types"]) == model.members.count()
 
 
+def test_the_document_is_not_planned_at_once(spark):
+    """The driver's memory goes by what it plans and compiles at once: here types with their members, and what was cut before."""
+    found = sinks.document(Model(star.facts(spark, DATA)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange ") <= 12 and "HashAggregate" in final
+    assert found.select("block").distinct().count() == 12
+
+
 def test_what_is_left_out(spark):
     facts = star.facts(spark, DATA)
     name = facts["projects"].orderBy("project").first().project
